@@ -32,7 +32,7 @@ def normalize_ws(text: Column) -> Column:
 def luhn_valid(text: Column) -> Column:
     """Luhn check over the digits in the text; text without digits passes."""
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return (digits == "") | F.luhn_check(digits)
+    return (digits == "") | F.call_function("luhn_check", digits)
 
 
 def ssn_valid(text: Column) -> Column:

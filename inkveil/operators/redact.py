@@ -80,24 +80,37 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
 
     Equal patterns give equal spans, of which the first pattern's wins; so each is run once.
     """
-    spans = []
-    for i, c in enumerate(rules.categories):
-        for p, numbers in c.distinct_patterns():
-            found = F.transform(
-                scan.hits(scan.fenced(F.col("text"), p)),
-                lambda h, i=i, numbers=numbers: F.struct(
-                    (h["start"] - h["end"]).alias("rank"),
-                    F.lit(i).alias("category_ord"),
-                    F.lit(numbers[0]).alias("pattern_idx"),
-                    h["start"].alias("start"),
-                    h["end"].alias("end"),
-                    h["match_text"].alias("match_text"),
-                ),
+
+    runs = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("category_ord"),
+                F.lit(numbers[0]).alias("pattern_idx"),
+                F.when(reported(c, min_confidence), scan.fenced(F.col("text"), p)).alias("fenced"),
             )
-            spans.append(F.when(reported(c, min_confidence), found).otherwise(F.array().cast(f"array<{_SPAN}>")))
+            for i, c in enumerate(rules.categories)
+            for p, numbers in c.distinct_patterns()
+        ]
+    )
+
+    def as_spans(run: Column) -> Column:
+        return F.transform(
+            scan.hits(run["fenced"]),
+            lambda h: F.struct(
+                (h["start"] - h["end"]).alias("rank"),
+                run["category_ord"].alias("category_ord"),
+                run["pattern_idx"].alias("pattern_idx"),
+                h["start"].alias("start"),
+                h["end"].alias("end"),
+                h["match_text"].alias("match_text"),
+            ),
+        )
+
+    with_hits = F.filter(runs, lambda r: r["fenced"].contains(scan.FENCE))
+    none = F.array().cast(f"array<{_SPAN}>")
     return F.aggregate(
-        F.array_sort(F.concat(*spans)),
-        F.array().cast(f"array<{_SPAN}>"),
+        F.array_sort(F.flatten(F.transform(with_hits, as_spans))),
+        none,
         lambda kept, s: F.when(
             F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
         ).otherwise(F.concat(kept, F.array(s))),

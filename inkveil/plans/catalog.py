@@ -99,7 +99,7 @@ def rejects(spark, sf):
         F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("text"),
     )
     _, bad = B.split_rejects(blocks)
-    return bad.select("doc_id", "page_no", "block_no", "reason")
+    return bad.select("doc_id", "page_no", F.coalesce("block_no", F.lit(-1)).alias("block_no"), "reason")
 
 
 # --- text ----------------------------------------------------------------------------------
@@ -372,7 +372,9 @@ def matches_by_doc(spark, sf):
 
 @query
 def pattern_distribution(spark, sf):
-    return reports.pattern_distribution(_doc_context(spark, sf))
+    """Totals are shown as pattern -1 and category ``all``."""
+    counted = reports.pattern_distribution(_doc_context(spark, sf))
+    return counted.fillna("all", ["category"]).fillna(-1, ["pattern_idx"])
 
 
 @query
