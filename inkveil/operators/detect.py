@@ -27,18 +27,49 @@ MATCH_COLUMNS = [
 ]
 
 
+def with_label_hint(
+    blocks: DataFrame, rules: RuleSet, min_confidence: float | None = None
+) -> DataFrame:
+    """Adds ``label_near``: does a label of any category occur beside the block?
+
+    One search for all labels together spares most blocks the search for each category's. With
+    ``min_confidence`` blocks whose score is settled without labels are not searched at all.
+    """
+    before, after = F.col("preceding_text"), F.col("following_text")
+    regex = rules.label_regex
+    near = F.lit(False)
+    if regex:
+        near = ((before != "") & before.rlike(regex)) | ((after != "") & after.rlike(regex))
+
+    def hint(table: float) -> Column:
+        open_ = min_confidence is None or any(
+            _settled(c, table, min_confidence) is None for c in rules.categories
+        )
+        return near if open_ else F.lit(False)
+
+    return blocks.withColumn(
+        "label_near", F.when(F.col("is_table_cell"), hint(TABLE_BOOST)).otherwise(hint(0.0))
+    )
+
+
 def labelled(category: Category) -> Column:
     """Does a label of the category occur in the text beside the block?
 
-    The block's own text is not asked. A label that accepts empty text does not count where
-    there is no text on either side.
+    The block's own text is not asked, and text that is empty on one side is not asked either.
     """
     regex = category.label_regex
     if regex is None:
         return F.lit(False)
     before, after = F.col("preceding_text"), F.col("following_text")
-    beside = (before != "") | (after != "")
-    return beside & (before.rlike(regex) | after.rlike(regex))
+    return F.col("label_near") & (before.rlike(regex) | after.rlike(regex))
+
+
+def _settled(category: Category, table: float, min_confidence: float) -> bool | None:
+    """Whether hits are reported, if that is the same with and without a label."""
+    needed = max(category.threshold, min_confidence)
+    plain = BASE_CONFIDENCE + 0.0 + table >= needed
+    with_label = BASE_CONFIDENCE + LABEL_BOOST + table >= needed
+    return plain if plain == with_label else None
 
 
 def confidence(category: Category) -> Column:
@@ -59,14 +90,10 @@ def reported(category: Category, min_confidence: float = 0.0) -> Column:
     Same as ``confidence(category) >= threshold``; but a score that passes, or fails, whatever
     the labels say is settled without looking for labels.
     """
-    needed = max(category.threshold, min_confidence)
 
     def passes(table: float) -> Column:
-        plain = BASE_CONFIDENCE + 0.0 + table >= needed
-        with_label = BASE_CONFIDENCE + LABEL_BOOST + table >= needed
-        if plain:
-            return F.lit(True)
-        return labelled(category) if with_label else F.lit(False)
+        settled = _settled(category, table, min_confidence)
+        return labelled(category) if settled is None else F.lit(settled)
 
     return searchable() & F.when(F.col("is_table_cell"), passes(TABLE_BOOST)).otherwise(passes(0.0))
 
@@ -84,7 +111,8 @@ def score_table(blocks: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
             for c in rules.categories
         ]
     )
-    return blocks.where(searchable()).select(*BLOCK_KEYS, "is_table_cell", F.inline(rows))
+    hinted = with_label_hint(blocks.where(searchable()), rules)
+    return hinted.select(*BLOCK_KEYS, "is_table_cell", F.inline(rows))
 
 
 def detect(
@@ -122,8 +150,9 @@ def detect(
     found = F.filter(
         F.array(*by_category), lambda c: F.coalesce(F.size(c["runs"]), F.lit(0)) > 0
     )
-    per_category = blocks.select(
-        *dict.fromkeys([*keys, "preceding_text", "following_text", "is_table_cell"]), F.inline(found)
+    per_category = with_label_hint(blocks, rules).select(
+        *dict.fromkeys([*keys, "preceding_text", "following_text", "is_table_cell", "label_near"]),
+        F.inline(found),
     )
     scored = per_category.select(
         *keys,
@@ -159,12 +188,4 @@ def match_counts(blocks: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confiden
         for p, numbers in c.distinct_patterns():
             n = n + scan.occurrences(F.col("text"), p) * len(numbers)
         counts.append(F.when(reported(c, min_confidence), n).otherwise(0))
-    return blocks.withColumn("counts", F.array(*counts))
-
-
-def categories_found(blocks: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confidence: float = 0.0) -> DataFrame:
-    """Adds ``found``: for each category, in rule order, whether any match is reported."""
-    found = [
-        reported(c, min_confidence) & scan.any_occurs(F.col("text"), c) for c in rules.categories
-    ]
-    return blocks.withColumn("found", F.array(*found))
+    return with_label_hint(blocks, rules, min_confidence).withColumn("counts", F.array(*counts))

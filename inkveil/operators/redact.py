@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import scan
-from inkveil.operators.detect import BLOCK_KEYS, by_order, reported
+from inkveil.operators.detect import BLOCK_KEYS, by_order, reported, with_label_hint
 from inkveil.rules import DEFAULT_RULES, RuleSet
 
 # Fixed value: the score from which a block is redacted. Only hits with a label reach it.
@@ -29,15 +29,17 @@ def redact_blocks(
     a block holds a match is decided in its own row, so nothing is joined or shuffled, and no
     match is made into a row.
     """
+    chosen = rules.selected(selection)
     tokens = F.array_compact(
         F.array(
             *[
                 F.when(reported(c, min_confidence) & scan.any_occurs(F.col("text"), c), c.token)
-                for c in rules.selected(selection).categories
+                for c in chosen.categories
             ]
         )
     )
-    return _with_tokens(context.select(*BLOCK_KEYS, *_BOX, "raw_text", tokens.alias("tokens")))
+    hinted = with_label_hint(context, chosen, min_confidence)
+    return _with_tokens(hinted.select(*BLOCK_KEYS, *_BOX, "raw_text", tokens.alias("tokens")))
 
 
 def redact_matched(context: DataFrame, matches: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -81,17 +83,19 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
     Equal patterns give equal spans, of which the first pattern's wins; so each is run once.
     """
 
-    runs = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("category_ord"),
-                F.lit(numbers[0]).alias("pattern_idx"),
-                F.when(reported(c, min_confidence), scan.fenced(F.col("text"), p)).alias("fenced"),
-            )
-            for i, c in enumerate(rules.categories)
-            for p, numbers in c.distinct_patterns()
-        ]
-    )
+    runs = []
+    for i, c in enumerate(rules.categories):
+        of_category = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("category_ord"),
+                    F.lit(numbers[0]).alias("pattern_idx"),
+                    scan.fenced(F.col("text"), p).alias("fenced"),
+                )
+                for p, numbers in c.distinct_patterns()
+            ]
+        )
+        runs.append(F.when(reported(c, min_confidence), of_category))
 
     def as_spans(run: Column) -> Column:
         return F.transform(
@@ -106,7 +110,9 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
             ),
         )
 
-    with_hits = F.filter(runs, lambda r: r["fenced"].contains(scan.FENCE))
+    with_hits = F.filter(
+        F.flatten(F.array_compact(F.array(*runs))), lambda r: r["fenced"].contains(scan.FENCE)
+    )
     none = F.array().cast(f"array<{_SPAN}>")
     return F.aggregate(
         F.array_sort(F.flatten(F.transform(with_hits, as_spans))),
@@ -127,7 +133,8 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
 
 def dedupe_spans(context: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confidence: float = 0.0) -> DataFrame:
     """Matches of which no two overlap. Decided within the block's row, without a shuffle."""
-    return context.select(*BLOCK_KEYS, F.inline(_kept_spans(rules, min_confidence))).select(
+    hinted = with_label_hint(context, rules, min_confidence)
+    return hinted.select(*BLOCK_KEYS, F.inline(_kept_spans(rules, min_confidence))).select(
         *BLOCK_KEYS,
         by_order("category_ord", [F.lit(c.name) for c in rules.categories]).alias("category"),
         "pattern_idx", "start", "end", "match_text",
@@ -142,7 +149,7 @@ def redact_spans(
 ) -> DataFrame:
     """Replace just the matched spans, in the cleaned text, by their category's token."""
     chosen = rules.selected(selection)
-    spans = context.select(
+    spans = with_label_hint(context, chosen, min_confidence).select(
         *BLOCK_KEYS, *_BOX, "raw_text", "text", _kept_spans(chosen, min_confidence).alias("spans")
     )
 

@@ -145,7 +145,7 @@ class Category:
 
     @property
     def label_regex(self) -> str | None:
-        return "(?iU)" + "|".join(f"(?:{l})" for l in self.labels) if self.labels else None
+        return any_of(self.labels)
 
     def distinct_patterns(self) -> list[tuple[Pattern, tuple[int, ...]]]:
         """Patterns that differ in effect, each with the pattern numbers it stands for.
@@ -162,6 +162,11 @@ class Category:
 class RuleSet:
     categories: tuple[Category, ...] = field(default_factory=tuple)
 
+    @property
+    def label_regex(self) -> str | None:
+        """Finds a label of any category."""
+        return any_of([l for c in self.categories for l in c.labels])
+
     def names(self) -> list[str]:
         return [c.name for c in self.categories]
 
@@ -287,6 +292,32 @@ def check_regex(pattern: str) -> None:
         )
 
 
+def any_of(labels: Iterable[str]) -> str | None:
+    """One expression for several labels.
+
+    Most begin with a word boundary, which is slow to test; it is written once in front of all
+    of them rather than tried again for each.
+    """
+    at_word, others = [], []
+    for l in labels:
+        if l.startswith(r"\b") and not _has_bare_alternative(l):
+            at_word.append(f"(?:{l[2:]})")
+        else:
+            others.append(f"(?:{l})")
+    if at_word:
+        others.append(r"\b(?:" + "|".join(at_word) + ")")
+    return "(?iU)" + "|".join(others) if others else None
+
+
+def _has_bare_alternative(regex: str) -> bool:
+    """Is there a ``|`` outside all brackets?"""
+    rest = re.sub(r"\\.", "", regex)
+    rest = re.sub(r"\[\]?[^\]]*\]", "", rest)
+    while (inner := re.sub(r"\([^()]*\)", "", rest)) != rest:
+        rest = inner
+    return "|" in rest
+
+
 def _fold_letter_classes(regex: str) -> str:
     """Case is ignored, so ``A-Za-z`` inside a character class says no more than ``A-Z``."""
     return re.sub(r"\[[^\]]*\]", lambda m: m.group().replace("A-Za-z", "A-Z"), regex)
