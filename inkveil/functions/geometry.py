@@ -94,9 +94,10 @@ def right_rect(b) -> tuple[Column, Column, Column, Column]:
 
 
 def overlaps(rect, b) -> Column:
-    """A block belongs to a rectangle, as a whole, if they share a positive area."""
+    """A block belongs to a rectangle, as a whole, if they overlap; a rectangle without width,
+    as at the page's left edge, holds none."""
     rx0, ry0, rx1, ry1 = rect
-    return (b["x0"] < rx1) & (b["x1"] > rx0) & (b["y0"] < ry1) & (b["y1"] > ry0)
+    return (rx0 < rx1) & (b["x0"] < rx1) & (b["x1"] > rx0) & (b["y0"] < ry1) & (b["y1"] > ry0)
 
 
 def beside_text(text: Column) -> Column:

@@ -28,9 +28,11 @@ def load_settings(spark: SparkSession, path: str | None = None) -> dict:
     settings = copy.deepcopy(DEFAULT_SETTINGS)
     if path:
         try:
-            row = spark.read.option("mode", "FAILFAST").json(path, multiLine=True).head()
-            settings.update(_plain(row))
-        except (PySparkException, TypeError) as e:
+            user = _plain(spark.read.json(path, multiLine=True).head())
+            if "_corrupt_record" in user:
+                raise ValueError("not a JSON object")
+            settings.update(user)
+        except (PySparkException, TypeError, ValueError) as e:
             logging.getLogger(__name__).warning("could not load settings from %s: %s", path, e)
     return settings
 

@@ -134,7 +134,7 @@ paired AS (
   SELECT m.doc_id, m.page_no, m.block_no,
     count(*) FILTER (WHERE (abs(r.y0 - m.y0) < 10 OR abs(r.x0 - m.x0) < 10)
       AND NOT (r.x0 = m.x0 AND r.y0 = m.y0 AND r.x1 = m.x1 AND r.y1 = m.y1)) >= 2 AS is_table_cell,
-    string_agg(r.text, ' ' ORDER BY r.block_no) FILTER (WHERE r.x0 < m.x0
+    string_agg(r.text, ' ' ORDER BY r.block_no) FILTER (WHERE m.x0 > 0 AND r.x0 < m.x0
       AND r.x1 > greatest(0, m.x0 - 150) AND r.y0 < m.y1 + 10 AND r.y1 > m.y0 - 10) AS pre,
     string_agg(r.text, ' ' ORDER BY r.block_no) FILTER (WHERE r.x0 < m.x1 + 150 AND r.x1 > m.x1
       AND r.y0 < m.y1 + 10 AND r.y1 > m.y0 - 10) AS post
