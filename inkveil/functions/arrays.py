@@ -1,4 +1,4 @@
-"""Helpers on array columns."""
+"""Helpers on columns."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-_CHUNK = 64
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
@@ -16,41 +13,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     variable is evaluated once.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _running(lengths: Column, start: Column) -> Column:
-    return F.aggregate(
-        lengths,
-        F.array(start),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
-
-
-def exclusive_sums(lengths: Column) -> Column:
-    """For every element the sum of those before it.
-
-    Appending to an array copies it, so one fold over n elements costs n*n. Two levels of
-    chunks keep the copies short however long the array is.
-    """
-
-    def chunk_sums(ns: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ns), F.lit(1)), F.lit(_CHUNK))
-        totals = F.transform(
-            starts, lambda s: F.aggregate(F.slice(ns, s, F.lit(_CHUNK)), F.lit(0), lambda a, n: a + n)
-        )
-        return let(
-            _running(totals, F.lit(0)),
-            lambda offsets: F.flatten(
-                F.transform(
-                    starts,
-                    lambda s, k: let(
-                        F.slice(ns, s, F.lit(_CHUNK)),
-                        lambda part: F.slice(
-                            _running(part, F.get(offsets, k)), F.lit(1), F.size(part)
-                        ),
-                    ),
-                )
-            ),
-        )
-
-    return let(lengths, chunk_sums)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from inkveil.functions.arrays import exclusive_sums, let
+from inkveil.functions.arrays import let
 from inkveil.rules import Category, Pattern
 
 # Cleaned text holds no control characters, so this one can fence the matches.
@@ -42,32 +42,51 @@ def any_occurs(text: Column, category: Category) -> Column:
     return found
 
 
-def _one_to(n: Column) -> Column:
-    return F.slice(F.sequence(F.lit(0), n), F.lit(2), n)
+# Pieces are read in chunks of this many; even, so that every chunk begins with a gap.
+_CHUNK = 64
 
 
 def hits(fenced_text: Column) -> Column:
     """``array<struct<match_idx, match_text, start, end>>`` of a fenced text.
 
     Split at the fences, even pieces are gaps and odd pieces are matches; a match starts where
-    the pieces before it end. Offsets count code points, half open.
+    the pieces before it end. Offsets count code points, half open. The pieces before are joined
+    and measured within a chunk only, so the work stays small in long texts too.
     """
 
     def read(pieces: Column) -> Column:
-        return let(
-            exclusive_sums(F.transform(pieces, F.length)),
-            lambda starts: F.transform(
-                _one_to(F.floor(F.size(pieces) / 2).cast("int")),
-                lambda i: let(
-                    F.get(pieces, 2 * i - 1),
-                    lambda piece: F.struct(
-                        (i - 1).alias("match_idx"),
-                        piece.alias("match_text"),
-                        F.get(starts, 2 * i - 1).alias("start"),
-                        (F.get(starts, 2 * i - 1) + F.length(piece)).alias("end"),
-                    ),
-                ),
-            ),
+        chunks = F.sequence(F.lit(1), F.size(pieces), F.lit(_CHUNK))
+        return F.flatten(F.transform(chunks, lambda first: in_chunk(pieces, first)))
+
+    def in_chunk(pieces: Column, first: Column) -> Column:
+        chunk = F.struct(
+            F.slice(pieces, first, F.lit(_CHUNK)).alias("part"),
+            _length(F.slice(pieces, F.lit(1), first - 1)).alias("offset"),
+            F.floor(first / 2).cast("int").alias("done"),
         )
+        return let(chunk, lambda c: F.transform(_one_to(F.floor(F.size(c["part"]) / 2)), one_of(c)))
+
+    def one_of(c: Column):
+        def one(i: Column) -> Column:
+            start = c["offset"] + _length(F.slice(c["part"], F.lit(1), 2 * i - 1))
+            return let(
+                F.struct(F.get(c["part"], 2 * i - 1).alias("text"), start.alias("start")),
+                lambda h: F.struct(
+                    (c["done"] + i - 1).alias("match_idx"),
+                    h["text"].alias("match_text"),
+                    h["start"].alias("start"),
+                    (h["start"] + F.length(h["text"])).alias("end"),
+                ),
+            )
+
+        return one
 
     return let(F.split(fenced_text, FENCE, -1), read)
+
+
+def _length(pieces: Column) -> Column:
+    return F.length(F.array_join(pieces, ""))
+
+
+def _one_to(n: Column) -> Column:
+    return F.slice(F.sequence(F.lit(0), n.cast("int")), F.lit(2), n.cast("int"))

@@ -145,13 +145,14 @@ def detect(
                 F.when(reported(c, min_confidence), with_hits).alias("runs"),
             )
         )
-    # Rows of one block and category, then the score, then rows of one match: the labels are
-    # looked for once, and only where there is a hit.
+    # Rows of one block and category, then the score, then rows of one match: labels that decide
+    # nothing but the score are looked for once, and only where there is a hit.
     found = F.filter(
         F.array(*by_category), lambda c: F.coalesce(F.size(c["runs"]), F.lit(0)) > 0
     )
-    per_category = with_label_hint(blocks, rules).select(
-        *dict.fromkeys([*keys, "preceding_text", "following_text", "is_table_cell", "label_near"]),
+    per_category = with_label_hint(blocks, rules, min_confidence).select(
+        *dict.fromkeys([*keys, "preceding_text", "following_text", "is_table_cell"]),
+        F.lit(True).alias("label_near"),
         F.inline(found),
     )
     scored = per_category.select(

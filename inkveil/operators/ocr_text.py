@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: words must be recognised with more than this confidence.
 MIN_WORD_CONFIDENCE = 60
 
 
+# A page's words are joined in runs of this many, and the runs are joined then.
+RUN_BITS = 12
+
+
 def ocr_page_text(words: DataFrame, min_confidence: float = MIN_WORD_CONFIDENCE) -> DataFrame:
-    """Text and mean confidence of each page; empty and zero for a page with no word kept."""
+    """Text and mean confidence of each page; empty and zero for a page with no word kept.
+
+    A page with very many words is spread over tasks by runs of words, so that only its text,
+    not its words, comes together in one place.
+    """
     kept = (F.col("conf") > min_confidence) & (F.trim("text") != "")
     word = F.when(kept, F.struct("word_no", F.trim("text").alias("word")))
-    return words.groupBy("doc_id", "page_no").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), " "
-        ).alias("page_text"),
-        F.coalesce(F.avg(F.when(kept, F.col("conf"))), F.lit(0.0)).alias("mean_conf"),
+    runs = words.groupBy("doc_id", "page_no", F.shiftright("word_no", RUN_BITS).alias("run")).agg(
+        _in_order(word, "word").alias("text"),
+        F.sum(F.when(kept, F.col("conf"))).alias("total"),
+        F.count_if(kept).alias("n"),
     )
+    piece = F.when(F.col("n") > 0, F.struct("run", "text"))
+    return runs.groupBy("doc_id", "page_no").agg(
+        _in_order(piece, "text").alias("page_text"),
+        F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("mean_conf"),
+    )
+
+
+def _in_order(numbered: Column, text: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(numbered)), lambda w: w[text]), " ")

@@ -365,7 +365,7 @@ def matches_by_doc(spark, sf):
     grouped = reports.matches_by_page(D.detect(_doc_context(spark, sf), NUMBERS_AND_MAIL))
     one = lambda m: F.concat_ws(":", m["block_no"], m["pattern_idx"], m["start"], m["match_text"])
     return grouped.select(
-        "doc_id", "page_no", "category", "n_matches",
+        "doc_id", "page_no", "part", "category", "n_matches",
         F.array_join(F.transform("matches", one), " / ").alias("matches"),
     )
 

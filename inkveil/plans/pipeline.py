@@ -16,12 +16,17 @@ def text_context(df: DataFrame, **columns) -> DataFrame:
     return layout.page_context(block_source.pages_from_text(df, **columns))
 
 
-def read_context(spark: SparkSession, path: str, text_table: bool = True) -> DataFrame:
-    """Blocks with context of a stored text table, or of a stored block table."""
+def read_context(
+    spark: SparkSession, path: str, text_table: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Blocks with context of a stored text table, or of a stored block table; and the rows that
+    cannot be used, with the reason."""
     if text_table:
-        return text_context(block_source.read_table(spark, path, spread_by="doc_id"))
-    usable, _ = block_source.split_rejects(block_source.read_blocks(spark, path))
-    return layout.block_context(usable)
+        table = block_source.read_table(spark, path, spread_by="doc_id")
+        usable, rejects = block_source.split_text_rejects(table)
+        return text_context(usable), rejects
+    usable, rejects = block_source.split_rejects(block_source.read_blocks(spark, path))
+    return layout.block_context(usable), rejects
 
 
 def get_supported_categories(rules: RuleSet = DEFAULT_RULES) -> list[str]:
@@ -32,14 +37,14 @@ def detect_pii(
     spark: SparkSession, path: str, rules: RuleSet = DEFAULT_RULES, text_table: bool = True
 ) -> DataFrame:
     """All matches in a stored table."""
-    return detection.detect(read_context(spark, path, text_table), rules)
+    return detection.detect(read_context(spark, path, text_table)[0], rules)
 
 
 def count_pii(
     spark: SparkSession, path: str, rules: RuleSet = DEFAULT_RULES, text_table: bool = True
 ) -> DataFrame:
     """Matches by category in a stored table."""
-    return reports.pii_counts(read_context(spark, path, text_table), rules)
+    return reports.pii_counts(read_context(spark, path, text_table)[0], rules)
 
 
 def anonymize(
@@ -51,14 +56,20 @@ def anonymize(
     rules: RuleSet = DEFAULT_RULES,
     spans: bool = False,
     audit_path: str | None = None,
+    rejects_path: str | None = None,
     text_table: bool = True,
 ) -> str:
     """Write a redacted copy beside the input and return its path.
 
     ``spans`` redacts the matched text instead of the whole block. With ``audit_path`` the log of
-    what was changed is written too. A failure raises; there is no half-written success.
+    what was changed is written too. Rows that cannot be used are written to ``rejects_path``;
+    where none is given they make the job fail, so that no part of the input goes missing unseen.
     """
-    context = read_context(spark, path, text_table)
+    context, rejects = read_context(spark, path, text_table)
+    if rejects_path:
+        rejects.write.mode("errorifexists").parquet(rejects_path)
+    elif not rejects.isEmpty():
+        raise ValueError(f"{path} holds rows that cannot be used; give a rejects_path for them")
     redaction = redact.redact_spans if spans else redact.redact_blocks
     written = store.write_redacted(
         redaction(context, rules, min_confidence, selected_categories), path, output_path

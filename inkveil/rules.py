@@ -12,7 +12,7 @@ import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # ---------------------------------------------------------------------------
 # Detection patterns, context labels, tokens and thresholds.
@@ -219,6 +219,15 @@ class RuleSet:
             )
         )
 
+    def with_profile(self, settings: DataFrame, profile: str) -> RuleSet:
+        """Settings of one saved profile, from a table like ``settings_dataframe``'s.
+
+        Such a table has a row per category and profile: configuration, read on the driver.
+        """
+        rows = settings.where(F.col("profile") == profile).collect()
+        chosen = {r.category: {k: r[k] for k in ("replacement", "threshold") if r[k] is not None} for r in rows}
+        return self.override(chosen)
+
     def without(self, excluded: Iterable[str]) -> RuleSet:
         excluded = set(excluded)
         return RuleSet(tuple(c for c in self.categories if c.name not in excluded))

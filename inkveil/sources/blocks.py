@@ -166,6 +166,15 @@ def split_rejects(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
+def split_text_rejects(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a text table fit for use, and the others with the reason."""
+    reason = F.when(F.col(doc_id).isNull(), "missing_key").when(F.col(text).isNull(), "missing_text")
+    bad = F.col(doc_id).isNull() | F.col(text).isNull()
+    return df.where(~bad), df.where(bad).withColumn("reason", reason)
+
+
 def words_from_text(
     df: DataFrame, confidence, doc_id: str = "doc_id", text: str = "text", words_per_page: int = 400
 ) -> DataFrame:

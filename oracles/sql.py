@@ -381,9 +381,9 @@ SQL: dict[str, str] = {
     "categories": f"{FORM_MATCHES}, {usage(DEFAULT_RULES)} SELECT category_ord, category, n_matches FROM usage",
     "rules_override": f"""{DOC_CTX}, {matches(DEFAULT_RULES.override(catalog.OVERRIDES))}, {usage(DEFAULT_RULES.override(catalog.OVERRIDES))}
         SELECT category, replacement, threshold, n_matches FROM usage""",
-    "matches_by_doc": f"""{NUM_MATCHES} SELECT doc_id, page_no, category, count(*) AS n_matches,
+    "matches_by_doc": f"""{NUM_MATCHES} SELECT doc_id, page_no, block_no // 4096 AS part, category, count(*) AS n_matches,
         string_agg(block_no || ':' || pattern_idx || ':' || "start" || ':' || match_text, ' / ' ORDER BY block_no, pattern_idx, "start") AS matches
-        FROM matches GROUP BY doc_id, page_no, category""",
+        FROM matches GROUP BY doc_id, page_no, part, category""",
     "pattern_distribution": f"{DOC_MATCHES}, {DISTRIBUTION.format(slots=SLOTS)}",
     "batch_summary": f"""{DOC_MATCHES},
         labelled AS (SELECT DISTINCT {KEYS} FROM matches WHERE confidence >= 0.7)

@@ -50,6 +50,16 @@ def test_anonymize_writes_a_new_table(spark, letters, tmp_path):
         pipeline.anonymize(spark, letters)
 
 
+def test_rejected_rows_are_kept_or_refused(spark, tmp_path):
+    path, bad = str(tmp_path / "t"), str(tmp_path / "bad")
+    spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string").write.parquet(path)
+    with pytest.raises(ValueError):
+        pipeline.anonymize(spark, path)
+    out = pipeline.anonymize(spark, path, spans=True, rejects_path=bad)
+    assert spark.read.parquet(out).count() == 2
+    assert [(r.doc_id, r.reason) for r in spark.read.parquet(bad).collect()] == [(2, "missing_text")]
+
+
 def test_block_table_gives_the_same_as_text(spark, letters, tmp_path):
     blocks = str(tmp_path / "blocks")
     blocks_from_text(spark.read.parquet(letters)).write.parquet(blocks)
@@ -69,10 +79,10 @@ def test_stream_gives_the_same_as_batch(spark, letters, tmp_path):
 
 
 def test_ocr_words(spark):
-    words = [(1, 0, 2, " b ", 60.1), (1, 0, 1, "a", 61.0), (1, 0, 3, "no", 60.0), (1, 0, 4, "  ", 99.0), (1, 1, 0, "x", 5.0)]
+    words = [(1, 0, 2, " b ", 60.1), (1, 0, 1, "a", 61.0), (1, 0, 3, "no", 60.0), (1, 0, 4, "  ", 99.0), (1, 2, 5000, "z", 70.0), (1, 2, 1, "y", 80.0), (1, 1, 0, "x", 5.0)]
     df = spark.createDataFrame(words, "doc_id long, page_no long, word_no long, text string, conf double")
     got = {r.page_no: (r.page_text, r.mean_conf) for r in ocr_page_text(df).collect()}
-    assert got == {0: ("a b", (61.0 + 60.1) / 2), 1: ("", 0.0)}
+    assert got == {0: ("a b", (61.0 + 60.1) / 2), 1: ("", 0.0), 2: ("y z", 75.0)}
 
 
 def plan(df):

@@ -69,6 +69,13 @@ def test_rule_tables(spark):
     assert DEFAULT_RULES.settings_dataframe(spark).where("threshold = 0.6").count() == 1
 
 
+def test_profiles(spark):
+    strict = DEFAULT_RULES.override({"Names": {"threshold": 0.95, "replacement": "[N]"}})
+    table = DEFAULT_RULES.settings_dataframe(spark).union(strict.settings_dataframe(spark, "strict"))
+    assert DEFAULT_RULES.with_profile(table, "strict") == strict
+    assert DEFAULT_RULES.with_profile(table, "default") == DEFAULT_RULES
+
+
 def test_settings(spark, tmp_path):
     assert load_settings(spark) == DEFAULT_SETTINGS
     path = tmp_path / "s.json"

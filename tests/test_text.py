@@ -1,12 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import scan
-from inkveil.functions.arrays import exclusive_sums
 from inkveil.functions.text import clean_text, luhn_valid, normalize_ws, preview, ssn_valid
-from inkveil.rules import DEFAULT_RULES, EXTENDED_RULES
+from inkveil.rules import DEFAULT_RULES, EXTENDED_RULES, Pattern
 import models
 
 
@@ -66,11 +66,13 @@ def test_preview(spark):
     assert one(spark, early, ("abcdefghijk",))[0].proposed == "ab*defgh"
 
 
-def test_exclusive_sums_of_any_length(spark):
-    rnd = random.Random(3)
-    arrays = [[rnd.randrange(50) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 200, 5000)]
-    got = one(spark, exclusive_sums(F.col("a")), *[(a,) for a in arrays], schema="a array<int>")
-    assert got == [[sum(a[:i]) for i in range(len(a))] for a in arrays]
+def test_offsets_in_texts_of_any_length(spark):
+    pattern = Pattern(r"\d+")
+    texts = ["a1" * n for n in (0, 1, 31, 32, 33, 64, 65, 200)] + ["7", "é12ß3", "12"]
+    got = one(spark, scan.hits(scan.fenced(F.col("t"), pattern)), *[(t,) for t in texts])
+    for t, hits in zip(texts, got):
+        want = [(k, m.group(), m.start(), m.end()) for k, m in enumerate(re.finditer(r"\d+", t))]
+        assert [tuple(h) for h in hits] == want
 
 
 # Own samples for each kind of pattern: found, not found.
