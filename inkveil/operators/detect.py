@@ -30,13 +30,13 @@ MATCH_COLUMNS = [
 def with_label_hint(
     blocks: DataFrame, rules: RuleSet, min_confidence: float | None = None
 ) -> DataFrame:
-    """Adds ``label_near``: does a label of any category occur beside the block?
+    """Adds ``label_near``: can a label of any category occur beside the block?
 
-    One search for all labels together spares most blocks the search for each category's. With
+    One search for the words of all labels spares most blocks the search for each category's. With
     ``min_confidence`` blocks whose score is settled without labels are not searched at all.
     """
     before, after = F.col("preceding_text"), F.col("following_text")
-    regex = rules.label_regex
+    regex = rules.label_hint
     near = F.lit(False)
     if regex:
         near = ((before != "") & before.rlike(regex)) | ((after != "") & after.rlike(regex))
@@ -152,10 +152,9 @@ def detect(
     )
     per_category = with_label_hint(blocks, rules, min_confidence).select(
         *dict.fromkeys([*keys, "preceding_text", "following_text", "is_table_cell"]),
-        F.lit(True).alias("label_near"),
         F.inline(found),
     )
-    scored = per_category.select(
+    scored = with_label_hint(per_category, rules).select(
         *keys,
         by_order("category_ord", [F.lit(c.name) for c in rules.categories]).alias("category"),
         "category_ord",

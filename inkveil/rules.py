@@ -89,6 +89,25 @@ EMAIL_LABELS = (
     r"\b(?:send|contact|reach)[\s-]*(?:at|via|by)[:\s]*",
     r"\b(?:email|e-mail|mail)[:\s]*",
 )
+# Every match of a label above begins, after colons and spaces, with one of these words.
+LABEL_WORDS = {
+    "Names": (
+        "name", "full", "customer", "client", "account", "prepared", "signed", "mr", "mrs", "ms", "dr",
+        "prof", "signature", "approved", "authorized", "certified", "verified", "employee", "manager",
+        "supervisor", "agent",
+    ),
+    "Account Numbers": (
+        "account", "acc", "acct", "reference", "ref", "number", "iban", "swift", "routing", "card",
+        "credit", "debit", "transaction",
+    ),
+    "Addresses": (
+        "address", "location", "residence", "mailing", "shipping", "billing", "street", "avenue", "road",
+        "boulevard", "lane", "drive", "city", "state", "zip", "postal", "province", "country", "deliver",
+        "ship", "send",
+    ),
+    "Phone Numbers": ("phone", "tel", "telephone", "mobile", "cell", "fax", "contact", "call", "dial"),
+    "Email Addresses": ("email", "e-mail", "mail", "contact", "send", "reach"),
+}
 TOKENS = {
     "Names": "[REDACTED NAME]",
     "Account Numbers": "[REDACTED ACCOUNT]",
@@ -138,6 +157,8 @@ class Category:
     labels: tuple[str, ...] = ()
     replacement: str | None = None
     threshold: float = DEFAULT_THRESHOLD
+    # Words of which every label match holds one, at a word's beginning; None if not known.
+    label_words: tuple[str, ...] | None = None
 
     @property
     def token(self) -> str:
@@ -163,9 +184,12 @@ class RuleSet:
     categories: tuple[Category, ...] = field(default_factory=tuple)
 
     @property
-    def label_regex(self) -> str | None:
-        """Finds a label of any category."""
-        return any_of([l for c in self.categories for l in c.labels])
+    def label_hint(self) -> str | None:
+        """Finds whatever a label of any category cannot do without: one of the label words, or
+        the labels themselves where their words are not known."""
+        words = {w for c in self.categories if c.labels and c.label_words for w in c.label_words}
+        labels = [l for c in self.categories if not c.label_words for l in c.labels]
+        return any_of([*labels, *([_word_start(words)] if words else [])])
 
     def names(self) -> list[str]:
         return [c.name for c in self.categories]
@@ -199,7 +223,12 @@ class RuleSet:
             )
         return RuleSet(
             tuple(
-                replace(c, patterns=c.patterns + (added,), labels=c.labels + labels)
+                replace(
+                    c,
+                    patterns=c.patterns + (added,),
+                    labels=c.labels + labels,
+                    label_words=None if labels else c.label_words,
+                )
                 if c.name == category
                 else c
                 for c in self.categories
@@ -318,6 +347,15 @@ def any_of(labels: Iterable[str]) -> str | None:
     return "(?iU)" + "|".join(others) if others else None
 
 
+def _word_start(words: Iterable[str]) -> str:
+    """Finds a word that begins with one of some words. Those with the same first letter share
+    it, so that most other words are passed over after one look."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    return r"\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_letter.items()) + ")"
+
+
 def _has_bare_alternative(regex: str) -> bool:
     """Is there a ``|`` outside all brackets?"""
     rest = re.sub(r"\\.", "", regex)
@@ -340,7 +378,7 @@ def _patterns(regexes, requires=None, scans=None) -> tuple[Pattern, ...]:
 
 
 def _category(name, patterns, labels) -> Category:
-    return Category(name, patterns, labels, TOKENS[name], THRESHOLDS[name])
+    return Category(name, patterns, labels, TOKENS[name], THRESHOLDS[name], LABEL_WORDS[name])
 
 
 DEFAULT_RULES = RuleSet(

@@ -1,4 +1,5 @@
 import json
+import re
 import warnings
 
 import pytest
@@ -62,6 +63,20 @@ def test_labels_in_one_expression():
     assert any_of([r"\ba", r"\bb|c", "^d"]) == r"(?iU)(?:\bb|c)|(?:^d)|\b(?:(?:a))"
 
 
+def test_label_words_miss_no_label():
+    tokens = sorted({w for c in DEFAULT_RULES.categories for l in c.labels for w in re.findall(r"[a-z#-]{2,}", l)})
+    hint = re.compile(DEFAULT_RULES.label_hint.replace("(?iU)", ""), re.I)
+    found = 0
+    for first in tokens:
+        for text in [f": {first}", f"{first}. x", *(f"x {first} {t}: " for t in tokens), *(f"{first}{t}" for t in tokens)]:
+            if any(re.search(l, text, re.I) for c in DEFAULT_RULES.categories for l in c.labels):
+                found += 1
+                assert hint.search(text), text
+    assert found > 1000
+    # Added labels are searched for themselves.
+    assert "plate" in DEFAULT_RULES.add_pattern("Names", r"\bxx+\b", ["plate"]).label_hint
+
+
 def test_rule_tables(spark):
     rows = DEFAULT_RULES.to_dataframe(spark)
     assert rows.where("kind = 'pattern'").count() == 27
