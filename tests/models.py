@@ -1,7 +1,6 @@
 """Plain Python models, slow and simple, against which results are checked."""
 
 import re
-import unicodedata
 
 from inkveil.rules import DEFAULT_RULES
 

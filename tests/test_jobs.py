@@ -1,10 +1,7 @@
 """Whole jobs, streams, plans, and the queries against SQL."""
 
-import re
-
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import compare
