@@ -5,7 +5,9 @@ record. Pass two shuffles each bucket (Fisher-Yates, seeded by bucket) and gives
 place in the whole order: the number of records in earlier buckets plus its place in the bucket. The
 order is then cut into shards whose row counts differ by one at most, and written.
 
-Only the row counts of buckets (one row for about ``bucket_bytes`` of text) meet in one task.
+Only the row counts of buckets (one row for about ``bucket_bytes`` of text) meet in one task. They are
+broadcast to the shuffled records as long as there are at most ``MOST_BROADCAST`` (24 bytes each), so
+that the texts are shuffled once; beyond that they are joined by shuffle.
 
 Defined results: a null text has size 1 and checksum 0; a null ``doc_id`` is scattered by its text
 and its place in the input, so many such rows do not share a bucket; repeated rows are separate
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from inkveil.llm.common import new_path, write_released
 
+MOST_BROADCAST = 1 << 20
 OWN = ("bucket", "place", "before", "shard", "slot")
 
 
@@ -60,7 +63,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_byt
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)} first")
     total = docs.agg(F.sum(text_size())).head()[0] or 0
-    scattered = scatter(docs, max(1, math.ceil(total / bucket_bytes)), seed)
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    scattered = scatter(docs, buckets, seed)
     counts = scattered.groupBy("bucket").count()
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -71,7 +75,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_byt
     at = F.col("before") + F.col("place")
     return (
         shuffle_buckets(scattered, seed)
-        .join(offsets, "bucket")
+        .join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else offsets, "bucket")
         .withColumn("shard", F.expr(f"int((before + place) * {shards}L div rows)"))
         .withColumn("slot", at - F.expr(f"(shard * rows + {shards - 1}) div {shards}L"))
         .select(*docs.columns, "shard", "slot")
@@ -80,7 +84,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_byt
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder for each shard; rows carry their slot."""
-    write_released(sharded.write.partitionBy("shard"), sharded.sparkSession, path)
+    write_released(sharded.write.option("compression", "zstd").partitionBy("shard"), sharded.sparkSession, path)
 
 
 def shard_digest(spark: SparkSession, sharded: DataFrame) -> DataFrame:
