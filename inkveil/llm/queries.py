@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import decontaminate, language, licenses, sharding, simhash, toxicity
+from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), path, bpe.digest, bpe.DIGEST)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,5 +41,5 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op5_decontaminate, op6_sharding, op7_language, op8_licenses)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses)}
 SQL: dict[str, str] = {}
