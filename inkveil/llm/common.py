@@ -31,7 +31,17 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "stage")
     write_released(df.write.option("compression", "zstd").partitionBy(*partition_by), spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that no later step reads."""
+    for df in staged:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_released(writer, spark: SparkSession, path: str) -> None:

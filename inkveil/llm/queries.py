@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, toxicity
+from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digest(table(spark, sf_dir, "documents"), window=13)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
 
@@ -41,5 +45,5 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses)}
 SQL: dict[str, str] = {}

@@ -1,0 +1,63 @@
+import hashlib
+import random
+
+import pytest
+
+from inkveil.llm import substrings
+
+
+def brute(rows, window=13):
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, w in words:
+        if d is not None:
+            for i in range(len(w) - window + 1):
+                k = tuple(w[i : i + window])
+                first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    return out
+
+
+def corpus(seed=3):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.choice([1, 2, 3, 9])))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (12, 13, 14, 40, 60)]
+    rows = []
+    for i in range(120):
+        parts = [text(r.randrange(30)) for _ in range(3)]
+        for p in r.sample(passages, r.randrange(3)):
+            parts.insert(r.randrange(3), p)
+        rows.append((i * 3 - 50, " \n".join(parts)))
+    rows += [(1000 + i, rows[5][1]) for i in range(30)] + [(2000 + i, rows[6][1] + " " + word()) for i in range(30)]
+    rows += [(3000, None), (3001, ""), (3002, " \t "), (3003, "a " * 200), (3004, "a " * 60), (None, rows[5][1]), (None, passages[4])]
+    rows += [(4000, passages[3]), (4000, passages[3]), (4001, passages[4]), (4001, passages[4] + " more"), (4002, "A\x0bB\x0cC " + passages[4].upper()), (4003, text(30000) + " " + passages[3])]
+    return rows
+
+
+@pytest.mark.parametrize("window", [13])
+def test_same_as_brute_force(spark, window):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = sorted((tuple(r) for r in substrings.repeat_digest(docs, window).collect()), key=key)
+    assert got == sorted(brute(rows, window), key=key)
+
+
+def test_text_and_extra_columns(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, "x " + passage, "k"), (2, passage + "\n\ny  z", None), (3, "kept  as\nit is", "m"), (4, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, start string")
+    got = {r.doc_id: (r.text, r.start, r.n_removed) for r in substrings.without_repeats(docs).collect()}
+    assert got == {1: ("x " + passage, "k", 0), 2: ("y z", None, 20), 3: ("kept  as\nit is", "m", 0), 4: (None, "n", 0)}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert substrings.repeat_digest(docs).count() == 0
