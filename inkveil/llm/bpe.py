@@ -232,3 +232,10 @@ def digest(ids: np.ndarray, text: str):
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def ids_and_digest(ids: np.ndarray, text: str):
+    return len(ids), ids.astype(np.int32), hashlib.sha256(text.encode()).hexdigest()
+
+
+IDS = "n_tokens long, ids array<int>, decoded_sha256 string"

@@ -24,6 +24,7 @@ an empty table on either side gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,3 +195,21 @@ def leaks_of_block(docs: DataFrame, shared, similarity: float, schema: str) -> D
                     yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(n)), "item_id": pa.array(item, pa.int64()), "similarity": pa.array(value, pa.float64()), "first_word": pa.array(at, pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, items_at_once: int = 20_000) -> DataFrame:
+    """The rows that hold no item, as they are."""
+    context = docs.sparkSession.sparkContext
+    for block in benchmark_blocks(benchmark, items_at_once):
+        docs = docs.where(~holds_item(context.broadcast(cloudpickle.dumps(Items(block, radius))), similarity)("text"))
+    return docs
+
+
+def holds_item(shared, similarity: float):
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items, known = cloudpickle.loads(shared.value), WordHashes()
+        for batch in batches:
+            yield pa.array([bool(items.search(word_hashes(t, known), similarity)) for _, texts in slices(batch) for t in texts], pa.bool_())
+
+    return holds

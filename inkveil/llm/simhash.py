@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import slices, stage
@@ -190,3 +190,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4) ->
     joined = marked.join(found, marked.fp == found.node, "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
+    """The row with the smallest id of each component, as it is; equal rows once, rows without an id all."""
+    first = near_duplicates(docs, shingle, max_distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
+    kept = docs.join(first, docs["doc_id"].cast("long") == F.col("kept_"), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    once = kept.withColumn("nth_", F.row_number().over(same)).where("nth_ = 1").drop("nth_")
+    return once.unionByName(docs.where("doc_id is null"))

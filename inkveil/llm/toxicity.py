@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import re
 from binascii import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 20
@@ -118,28 +119,41 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
     return fit_chain(Rows([np.array(r[-1], np.int64) for r in got]), y, fold, folds)
 
 
-def score(docs: DataFrame, models, categories: list[str]) -> DataFrame:
-    """``doc_id`` and the probability of each category."""
-    shared = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), c, b) for w, c, b in models])
+def probabilities(spark: SparkSession, models):
+    """A function from a text column to the probability of each category."""
+    shared = spark.sparkContext.broadcast([(w.astype(np.float32), c, b) for w, c, b in models])
 
-    def run(batches):
+    @F.arrow_udf("array<double>")
+    def chain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         models = shared.value
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
+            for text in batch:
                 cells, known = features(text.as_py()), []
-                for weights, chain, b in models:
-                    known.append(float(sigmoid(weights[cells].sum(dtype=np.float64) + chain @ np.array(known) + b)))
+                for weights, before, b in models:
+                    known.append(float(sigmoid(weights[cells].sum(dtype=np.float64) + before @ np.array(known) + b)))
                 rows.append(known)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{f"p_{c}": pa.array([r[i] for r in rows], pa.float64()) for i, c in enumerate(categories)}})
+            yield pa.array(rows, pa.list_(pa.float64()))
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in categories)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return chain
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Low quality first, then toxic; ``toxic`` is the decision."""
-    chain = ["low_quality", "toxic"]
+#: Low quality first, then toxic.
+CHAIN = ["low_quality", "toxic"]
+
+
+def fitted(docs: DataFrame, labels: DataFrame):
+    """The chain of ``CHAIN``, as a function of the text."""
     known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    scored = score(docs, train(docs, known, chain), chain)
-    return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
+    return probabilities(docs.sparkSession, train(docs, known, CHAIN))
+
+
+def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, p_low_quality, p_toxic, toxic) of every document."""
+    scored = docs.select(F.col("doc_id").cast("long"), fitted(docs, labels)("text").alias("p"))
+    return scored.select("doc_id", F.col("p")[0].alias("p_low_quality"), F.col("p")[1].alias("p_toxic"), (F.col("p")[1] >= threshold).alias("toxic"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that are not toxic, as they are."""
+    return docs.where(fitted(docs, labels)("text")[1] < threshold)
