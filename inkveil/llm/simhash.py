@@ -122,6 +122,7 @@ def keys_of(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
 
 def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links (numbers of fingerprints) that connect all that are connected at ``most`` bits."""
+    fps = fps.view(np.uint64)  # bits of negative numbers would be counted by their size
     left, found = np.arange(len(fps)), []
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
