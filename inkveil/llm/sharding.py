@@ -1,9 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the records uniformly into buckets that fit in memory, by a seeded hash of the
-record. Pass two shuffles each bucket (Fisher-Yates, seeded by bucket) and gives every record its
-place in the whole order: the number of records in earlier buckets plus its place in the bucket. The
-order is then cut into shards whose row counts differ by one at most, and written.
+record. Pass two shuffles each bucket (Fisher-Yates, seeded by bucket) and writes it. A record's place in
+the whole order is the number of records in earlier buckets, counted from what was written, plus its place
+in the bucket. The order is then cut into shards whose row counts differ by one at most.
 
 Only the row counts of buckets (one row for about ``bucket_bytes`` of text) meet in one task. They are
 broadcast to the shuffled records as long as there are at most ``MOST_BROADCAST`` (24 bytes each), so
@@ -12,7 +12,7 @@ that the texts are shuffled once; beyond that they are joined by shuffle.
 Defined results: a null text has size 1 and checksum 0; a null ``doc_id`` is scattered by its text
 and its place in the input, so many such rows do not share a bucket; repeated rows are separate
 records; an empty table gives an empty result. Extra columns are kept; a column called ``bucket``,
-``place``, ``before``, ``shard`` or ``slot`` must be renamed first (ValueError).
+``place``, ``before``, ``rows``, ``shard`` or ``slot`` must be renamed first (ValueError).
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import new_path, write_released
+from inkveil.llm.common import new_path, stage, write_released
 
 MOST_BROADCAST = 1 << 20
-OWN = ("bucket", "place", "before", "shard", "slot")
+OWN = ("bucket", "place", "before", "rows", "shard", "slot")
 
 
 def text_size(text="text"):
@@ -64,8 +64,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_byt
         raise ValueError(f"rename the columns {sorted(clash)} first")
     total = docs.agg(F.sum(text_size())).head()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = scatter(docs, buckets, seed)
-    counts = scattered.groupBy("bucket").count()
+    placed = stage(shuffle_buckets(scatter(docs, buckets, seed), seed))
+    counts = placed.groupBy("bucket").count()
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "bucket",
@@ -74,8 +74,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_byt
     )
     at = F.col("before") + F.col("place")
     return (
-        shuffle_buckets(scattered, seed)
-        .join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else offsets, "bucket")
+        placed.join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else offsets, "bucket")
         .withColumn("shard", F.expr(f"int((before + place) * {shards}L div rows)"))
         .withColumn("slot", at - F.expr(f"(shard * rows + {shards - 1}) div {shards}L"))
         .select(*docs.columns, "shard", "slot")
