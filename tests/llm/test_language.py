@@ -1,0 +1,46 @@
+import random
+
+
+from inkveil.llm import language
+
+LANGS = {"aa": ["sch", "ein", "der", "ung", "keit"], "bb": ["tion", "ing", "the", "ly"], "cc": ["ción", "os", "ñ", "mente"]}
+
+
+def rows(n=300):
+    r = random.Random(1)
+    out = []
+    for i in range(n):
+        lang = r.choice(list(LANGS))
+        out.append((i, " ".join("".join(r.choice(LANGS[lang]) for _ in range(3)) for _ in range(r.randrange(3, 30))).title() + " 12 !", lang))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    data = rows()
+    got = language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    lang = {d: x for d, _, x in data}
+    held = [r for r in got if r.held_out]
+    assert len(got) == 300 and 60 < len(held) < 140
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_nulls_empty_and_no_letters(spark):
+    extra = [(900, None, "aa"), (901, "", None), (902, "12 !?", "bb"), (None, "die schein", None), (903, "the " * 200_000, None), (903, "the ing", "zz")]
+    got = language.identify(spark.createDataFrame(rows(60) + extra, "doc_id long, text string, lang string")).collect()
+    und = [r for r in got if r.doc_id in (900, 901, 902)]
+    assert {(r.lang_pred, r.score) for r in und} == {("und", 0.0)} and len(und) == 3
+    assert [r.lang_pred for r in got if r.doc_id == 903][0] in ("bb", "zz")
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in language.identify(docs).collect()] == [("und", 0.0)]
+    assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_pieces_give_the_same_features(monkeypatch):
+    text = "Ünder the 123 brücke, 𝔸 ñandú " * 50
+    whole = sorted(int(c) for part in language.cells(text) for c in part)
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert sorted(int(c) for part in language.cells(text) for c in part) == whole
