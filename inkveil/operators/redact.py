@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import scan
+from inkveil.functions.arrays import let
 from inkveil.operators.detect import BLOCK_KEYS, by_order, reported, with_label_hint
 from inkveil.rules import DEFAULT_RULES, RuleSet
 
@@ -74,7 +75,8 @@ def exclude_matches(matches: DataFrame, excluded: DataFrame) -> DataFrame:
     return matches.join(excluded.select(*MATCH_KEYS).distinct(), MATCH_KEYS, "left_anti")
 
 
-_SPAN = "struct<rank:int,category_ord:int,pattern_idx:int,start:int,end:int,match_text:string>"
+_SPAN = "struct<start:int,end:int,category_ord:int,pattern_idx:int,match_text:string>"
+_RANKED = "struct<rank:int,category_ord:int,pattern_idx:int,start:int,end:int,match_text:string>"
 
 
 def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
@@ -101,11 +103,10 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
         return F.transform(
             scan.hits(run["fenced"]),
             lambda h: F.struct(
-                (h["start"] - h["end"]).alias("rank"),
-                run["category_ord"].alias("category_ord"),
-                run["pattern_idx"].alias("pattern_idx"),
                 h["start"].alias("start"),
                 h["end"].alias("end"),
+                run["category_ord"].alias("category_ord"),
+                run["pattern_idx"].alias("pattern_idx"),
                 h["match_text"].alias("match_text"),
             ),
         )
@@ -113,22 +114,58 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
     with_hits = F.filter(
         F.flatten(F.array_compact(F.array(*runs))), lambda r: r["fenced"].contains(scan.FENCE)
     )
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.aggregate(
-        F.array_sort(F.flatten(F.transform(with_hits, as_spans))),
+    spans = F.array_sort(F.flatten(F.transform(with_hits, as_spans)))
+    return let(spans, lambda s: F.flatten(F.transform(_apart(s), _longest_first)))
+
+
+#: Spans are looked at in chunks of this many to find where the text is free of them.
+_CHUNK = 64
+
+
+def _apart(spans: Column) -> Column:
+    """Cuts spans in order of ``start`` into groups of which none reaches into another.
+
+    A group begins where all spans before have ended: the largest end of the chunks before, and of
+    the spans before in the same chunk.
+    """
+
+    def groups(ends: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(ends), F.lit(_CHUNK))
+        highest = F.transform(firsts, lambda f: F.array_max(F.slice(ends, f, F.lit(_CHUNK))))
+        return let(highest, lambda h: let(F.flatten(F.transform(firsts, lambda f, j: begins(ends, h, f, j))), cut))
+
+    def begins(ends: Column, highest: Column, first: Column, chunk: Column) -> Column:
+        earlier = F.coalesce(F.array_max(F.slice(highest, F.lit(1), chunk)), F.lit(0))
+        places = F.sequence(first, F.least(first + (_CHUNK - 1), F.size(ends)))
+        reach = lambda i: F.greatest(F.lit(0), F.array_max(F.slice(ends, first, i - first)))
+        return let(earlier, lambda e: F.filter(places, lambda i: F.greatest(e, reach(i)) <= F.get(spans, i - 1)["start"]))
+
+    def cut(begin: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(begin, k + 1), F.size(spans) + 1)
+        return F.transform(begin, lambda b, k: F.slice(spans, b, until(k) - b))
+
+    none = F.array().cast(f"array<array<{_SPAN}>>")
+    return F.when(F.size(spans) > 0, let(F.transform(spans, lambda s: s["end"]), groups)).otherwise(none)
+
+
+def _longest_first(group: Column) -> Column:
+    """The spans of a group that are kept, in order."""
+    none = F.array().cast(f"array<{_RANKED}>")
+    ranked = F.array_sort(F.transform(group, lambda s: _struct(s, _RANKED, rank=s["start"] - s["end"])))
+    chosen = F.aggregate(
+        ranked,
         none,
         lambda kept, s: F.when(
             F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
         ).otherwise(F.concat(kept, F.array(s))),
-        lambda kept: F.array_sort(
-            F.transform(
-                kept,
-                lambda s: F.struct(
-                    *[s[c].alias(c) for c in ("start", "end", "category_ord", "pattern_idx", "match_text")]
-                ),
-            )
-        ),
+        lambda kept: F.array_sort(F.transform(kept, lambda s: _struct(s, _SPAN))),
     )
+    return F.when(F.size(group) == 1, group).otherwise(chosen)
+
+
+def _struct(span: Column, shape: str, **own: Column) -> Column:
+    names = [f.split(":")[0] for f in shape.removeprefix("struct<").removesuffix(">").split(",")]
+    return F.struct(*[own.get(n, span[n]).alias(n) for n in names])
 
 
 def dedupe_spans(context: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confidence: float = 0.0) -> DataFrame:

@@ -19,11 +19,9 @@ from inkveil.sources.store import stage
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Rules for reports in which every word of prose, taken for a name, would only repeat itself.
-NUMBERS_AND_MAIL = DEFAULT_RULES.without(["Names"])
 CARD_RULES = RuleSet().add_pattern("CreditCard", CARD_PATTERN, (r"\bcard",), "[REDACTED CARD]", 0.5)
 SSN_RULES = RuleSet().add_pattern("SSN", SSN_PATTERN, (r"\bssn\b",), "[REDACTED SSN]", 0.5)
-CUSTOM_RULES = DEFAULT_RULES.without(["Names"]).add_pattern(
+CUSTOM_RULES = DEFAULT_RULES.add_pattern(
     "Phone Numbers", BRACKETED_PHONE, requires=("+",)
 ).add_pattern("IP Addresses", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", (r"\bhost\b",), None, 0.6)
 OVERRIDES = {
@@ -233,7 +231,7 @@ def ssn(spark, sf):
 
 @query
 def match_preview(spark, sf):
-    matches = D.detect(_doc_context(spark, sf), NUMBERS_AND_MAIL, keep=["text"])
+    matches = D.detect(_doc_context(spark, sf), keep=["text"])
     shown = preview(F.col("text"), F.col("start"), F.col("end"), F.col("replacement"))
     return matches.select(
         *D.BLOCK_KEYS, "category", "pattern_idx", "match_idx", "match_text", "confidence", shown.alias("p")
@@ -291,7 +289,7 @@ def audit_log(spark, sf):
 
 
 def _numbered_text(spark, sf, scope):
-    matches = stage(D.detect(_doc_context(spark, sf), NUMBERS_AND_MAIL))
+    matches = stage(D.detect(_doc_context(spark, sf)))
     return numbering.replacement_index(matches, scope).select(
         *D.BLOCK_KEYS, "category", "pattern_idx", "start", "index"
     )
@@ -309,7 +307,7 @@ def replacement_index_corpus(spark, sf):
 
 @query
 def consistent_pseudonyms(spark, sf):
-    matches = stage(D.detect(_doc_context(spark, sf), NUMBERS_AND_MAIL))
+    matches = stage(D.detect(_doc_context(spark, sf)))
     return numbering.consistent_pseudonyms(matches, "corpus").select(
         *D.BLOCK_KEYS, "category", "pattern_idx", "start", "value", "index"
     )
@@ -362,7 +360,7 @@ def rules_override(spark, sf):
 
 @query
 def matches_by_doc(spark, sf):
-    grouped = reports.matches_by_page(D.detect(_doc_context(spark, sf), NUMBERS_AND_MAIL))
+    grouped = reports.matches_by_page(D.detect(_doc_context(spark, sf)))
     one = lambda m: F.concat_ws(":", m["block_no"], m["pattern_idx"], m["start"], m["match_text"])
     return grouped.select(
         "doc_id", "page_no", "part", "category", "n_matches",

@@ -247,9 +247,7 @@ usage AS (
   LEFT JOIN matches m ON m.category = r.category GROUP BY ALL)"""
 
 
-NUM = catalog.NUMBERS_AND_MAIL
 DOC_MATCHES = f"{DOC_CTX}, {matches(DEFAULT_RULES)}"
-NUM_MATCHES = f"{DOC_CTX}, {matches(NUM)}"
 FORM_MATCHES = f"{FORM_CTX}, {matches(DEFAULT_RULES)}"
 FORM_LABELLED = f"{FORM_CTX}, {matches(DEFAULT_RULES, 0.7)}"
 MATCH_COLUMNS = (
@@ -347,7 +345,7 @@ SQL: dict[str, str] = {
     "ssn": f"""{FORM_CTX}, {matches(catalog.SSN_RULES)}
         SELECT {KEYS}, match_text, confidence, match_text[1:3] NOT IN ('000', '666') AND match_text[1] <> '9'
           AND match_text[5:6] <> '00' AND match_text[8:11] <> '0000' AS valid FROM matches""",
-    "match_preview": f"""{NUM_MATCHES}
+    "match_preview": f"""{DOC_MATCHES}
         SELECT {KEYS}, category, pattern_idx, match_idx, match_text, confidence, before, after, before || replacement || after AS proposed
         FROM (SELECT *, right(left(text, "start"), 20) AS before, left(substring(text, "end" + 1), 20) AS after FROM matches)""",
     "redact_blocks": redacted(DOC_CTX, DEFAULT_RULES),
@@ -362,11 +360,11 @@ SQL: dict[str, str] = {
     "redact_spans_text": spans_redacted(DOC_CTX, DEFAULT_RULES),
     "audit_log": f"""{DOC_CTX}, {matches(DEFAULT_RULES, 0.7)}
         SELECT {KEYS}, category, pattern_idx, "start", "end", confidence, replacement, sha256(match_text) AS match_sha256 FROM matches""",
-    "replacement_index": f"""{NUM_MATCHES} SELECT {KEYS}, category, pattern_idx, "start",
+    "replacement_index": f"""{DOC_MATCHES} SELECT {KEYS}, category, pattern_idx, "start",
         row_number() OVER (PARTITION BY doc_id, category ORDER BY page_no, block_no, pattern_idx, "start") AS "index" FROM matches""",
-    "replacement_index_corpus": f"""{NUM_MATCHES} SELECT {KEYS}, category, pattern_idx, "start",
+    "replacement_index_corpus": f"""{DOC_MATCHES} SELECT {KEYS}, category, pattern_idx, "start",
         row_number() OVER (PARTITION BY category ORDER BY doc_id, page_no, block_no, pattern_idx, "start") AS "index" FROM matches""",
-    "consistent_pseudonyms": f"""{NUM_MATCHES}, {pseudonyms('category')}
+    "consistent_pseudonyms": f"""{DOC_MATCHES}, {pseudonyms('category')}
         SELECT {KEYS}, v.category, pattern_idx, "start", v.value, "index" FROM valued v JOIN numbers n ON n.category = v.category AND n.value = v.value""",
     "consistent_names": f"""{FORM_LABELLED}, {pseudonyms('doc_id, category')}
         SELECT v.doc_id, page_no, block_no, v.category, pattern_idx, "start", v.value, v.category || '-' || "index" AS pseudonym
@@ -381,7 +379,7 @@ SQL: dict[str, str] = {
     "categories": f"{FORM_MATCHES}, {usage(DEFAULT_RULES)} SELECT category_ord, category, n_matches FROM usage",
     "rules_override": f"""{DOC_CTX}, {matches(DEFAULT_RULES.override(catalog.OVERRIDES))}, {usage(DEFAULT_RULES.override(catalog.OVERRIDES))}
         SELECT category, replacement, threshold, n_matches FROM usage""",
-    "matches_by_doc": f"""{NUM_MATCHES} SELECT doc_id, page_no, block_no // 4096 AS part, category, count(*) AS n_matches,
+    "matches_by_doc": f"""{DOC_MATCHES} SELECT doc_id, page_no, block_no // 4096 AS part, category, count(*) AS n_matches,
         string_agg(block_no || ':' || pattern_idx || ':' || "start" || ':' || match_text, ' / ' ORDER BY block_no, pattern_idx, "start") AS matches
         FROM matches GROUP BY doc_id, page_no, part, category""",
     "pattern_distribution": f"{DOC_MATCHES}, {DISTRIBUTION.format(slots=SLOTS)}",
