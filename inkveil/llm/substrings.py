@@ -133,7 +133,10 @@ def compact(edges: DataFrame) -> DataFrame:
 def spans_of(edges: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     """(doc_id, tag, start, words, source, source_start): what follows a path of an earlier document."""
     met = edges.join(paths, ["a", "b"]).where("doc_id > source")
-    spans = met.groupBy("doc_id", "tag", "source", "path", (F.col("at") - F.col("source_at")).alias("off")).agg(
+    # A document may leave a path by a window of its own and come back to it, at the same distance.
+    stay = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "tag").orderBy("at"))
+    off = F.col("at") - F.col("source_at")
+    spans = met.withColumn("stay", stay).groupBy("doc_id", "tag", "stay", "source", "path", off.alias("off")).agg(
         F.min("at").alias("start"), F.max("at").alias("end"), F.min("source_at").alias("source_start")
     )
     return spans.select("doc_id", "tag", "start", (F.col("end") - F.col("start") + window).alias("words"), "source", "source_start")

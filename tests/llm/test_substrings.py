@@ -36,6 +36,11 @@ def corpus(seed=3):
             parts.insert(r.randrange(3), p)
         rows.append((i * 3 - 50, " \n".join(parts)))
     rows += [(1000 + i, rows[5][1]) for i in range(30)] + [(2000 + i, rows[6][1] + " " + word()) for i in range(30)]
+    for i in range(30):  # near copies, a word exchanged here and there
+        own = passages[4].split() + passages[3].split()
+        for _ in range(r.randrange(4)):
+            own[r.randrange(len(own))] = word() + "x"
+        rows.append((2500 + i, " ".join(own)))
     rows += [(3000, None), (3001, ""), (3002, " \t "), (3003, "a " * 200), (3004, "a " * 60), (None, rows[5][1]), (None, passages[4])]
     rows += [(4000, passages[3]), (4000, passages[3]), (4001, passages[4]), (4001, passages[4] + " more"), (4002, "A\x0bB\x0cC " + passages[4].upper()), (4003, text(30000) + " " + passages[3])]
     return rows
