@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, spots, substrings, suffixes, toxicity
+from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, spots, sql, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses, op9_spots, op10_suffixes)}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
