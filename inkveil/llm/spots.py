@@ -79,7 +79,8 @@ def by_ranges(docs: DataFrame) -> DataFrame:
 def with_next(ranged: DataFrame) -> DataFrame:
     """Each document with its ``signs`` and the ``text`` and ``signs`` of the next."""
     first = ranged.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("first"))
-    heads = ranged.join(first, "part").where((F.col("key") == F.col("first.key")) & (F.col("tie") == F.col("first.tie"))).dropDuplicates(["part"])
+    # One small row for each range, of which there are as many as shuffle partitions; so no text is shuffled here.
+    heads = ranged.join(F.broadcast(first), "part").where((F.col("key") == F.col("first.key")) & (F.col("tie") == F.col("first.tie"))).dropDuplicates(["part"])
     order = Window.orderBy("part")
     one = heads.select("part", "text", units(F.col("text")).alias("u")).withColumn("head", F.struct("text", signatures("u").alias("signs"))).select("part", "head")
     after = one.select(
