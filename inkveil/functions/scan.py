@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 from inkveil.functions.arrays import let
+from inkveil.functions.text import CHECKS
 from inkveil.rules import Category, Pattern
 
 # Cleaned text holds no control characters, so this one can fence the matches.
@@ -26,12 +29,27 @@ def fenced(text: Column, pattern: Pattern) -> Column:
     return guarded(text, pattern, F.regexp_replace(text, pattern.java, f"{FENCE}$0{FENCE}"), text)
 
 
+def _valid_matches(text: Column, pattern: Pattern) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern.java), F.lit(0))
+    return F.filter(found, CHECKS[pattern.valid])
+
+
 def occurs(text: Column, pattern: Pattern) -> Column:
-    return guarded(text, pattern, text.rlike(pattern.java), F.lit(False))
+    found = F.size(_valid_matches(text, pattern)) > 0 if pattern.valid else text.rlike(pattern.java)
+    return guarded(text, pattern, found, F.lit(False))
 
 
 def occurrences(text: Column, pattern: Pattern) -> Column:
-    return guarded(text, pattern, F.regexp_count(text, F.lit(pattern.java)), F.lit(0))
+    n = F.size(_valid_matches(text, pattern)) if pattern.valid else F.regexp_count(text, F.lit(pattern.java))
+    return guarded(text, pattern, n, F.lit(0))
+
+
+def passes(check: Column, match_text: Column, patterns: Iterable[Pattern]) -> Column:
+    """Does a match pass the check named in a column? ``patterns`` are those that may stand there."""
+    out = F.lit(True)
+    for name in sorted({p.valid for p in patterns if p.valid}):
+        out = F.when(check == name, CHECKS[name](match_text)).otherwise(out)
+    return out
 
 
 def any_occurs(text: Column, category: Category) -> Column:

@@ -40,6 +40,10 @@ def ssn_valid(text: Column) -> Column:
     return text.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
 
 
+#: Checks that a pattern can ask of its matches.
+CHECKS = {"luhn": luhn_valid, "ssn": ssn_valid}
+
+
 def preview(text: Column, start: Column, end: Column, replacement: Column, width: int = 20) -> Column:
     """Context before and after a hit, and the passage with the replacement in place."""
     before = F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width)))

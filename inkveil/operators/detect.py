@@ -133,6 +133,7 @@ def detect(
             *[
                 F.struct(
                     F.array(*[F.lit(n) for n in numbers]).alias("pattern_idxs"),
+                    F.lit(p.valid).cast("string").alias("check"),
                     scan.fenced(F.col("text"), p).alias("fenced"),
                 )
                 for p, numbers in c.distinct_patterns()
@@ -163,9 +164,12 @@ def detect(
         F.inline("runs"),
     )
     hits = scored.select(
-        *keys, "category", "category_ord", "pattern_idxs", "confidence", "replacement",
+        *keys, "category", "category_ord", "pattern_idxs", "check", "confidence", "replacement",
         F.inline(scan.hits(F.col("fenced"))),
     )
+    checked = [p for c in rules.categories for p in c.patterns if p.valid]
+    if checked:
+        hits = hits.where(scan.passes(F.col("check"), F.col("match_text"), checked))
     return hits.withColumn("pattern_idx", F.explode("pattern_idxs")).select(*MATCH_COLUMNS, *keep)
 
 

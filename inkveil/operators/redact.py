@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from inkveil.functions import scan
 from inkveil.functions.arrays import let
 from inkveil.operators.detect import BLOCK_KEYS, by_order, reported, with_label_hint
+from inkveil.operators.layout import page_context
 from inkveil.rules import DEFAULT_RULES, RuleSet
+from inkveil.sources.blocks import pages_from_text
+from inkveil.sources.store import stage
 
 # Fixed value: the score from which a block is redacted. Only hits with a label reach it.
 MIN_CONFIDENCE = 0.7
 
+#: Names of helper columns that no table has.
+_ROW, _CHANGES = "_inkveil_row", "_inkveil_changes"
+
 MATCH_KEYS = [*BLOCK_KEYS, "category", "pattern_idx", "match_idx"]
 _BOX = ["x0", "y0", "x1", "y1"]
 
@@ -92,6 +98,7 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
                 F.struct(
                     F.lit(i).alias("category_ord"),
                     F.lit(numbers[0]).alias("pattern_idx"),
+                    F.lit(p.valid).cast("string").alias("check"),
                     scan.fenced(F.col("text"), p).alias("fenced"),
                 )
                 for p, numbers in c.distinct_patterns()
@@ -99,9 +106,15 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
         )
         runs.append(F.when(reported(c, min_confidence), of_category))
 
+    checked = [p for c in rules.categories for p in c.patterns if p.valid]
+
+    def valid_hits(run: Column) -> Column:
+        hits = scan.hits(run["fenced"])
+        return F.filter(hits, lambda h: scan.passes(run["check"], h["match_text"], checked)) if checked else hits
+
     def as_spans(run: Column) -> Column:
         return F.transform(
-            scan.hits(run["fenced"]),
+            valid_hits(run),
             lambda h: F.struct(
                 h["start"].alias("start"),
                 h["end"].alias("end"),
@@ -211,3 +224,29 @@ def audit_log(matches: DataFrame) -> DataFrame:
         *BLOCK_KEYS, "category", "pattern_idx", "start", "end", "confidence", "replacement",
         F.sha2("match_text", 256).alias("match_sha256"),
     )
+
+
+def redact_documents(
+    documents: DataFrame,
+    rules: RuleSet = DEFAULT_RULES,
+    min_confidence: float = MIN_CONFIDENCE,
+    selection: Mapping[str, bool] | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """The documents with their text redacted line by line: every row and column stays, in place.
+
+    Lines without a match stay as they were, blank ones too; a null text stays null. The table's rows
+    are numbered and staged, so keys of any type, repeated keys and missing ones are all the same. Only
+    redacted lines travel, one short array for each document that has any.
+    """
+    numbered = stage(documents.withColumn(_ROW, F.monotonically_increasing_id()))
+    lines = numbered.where(F.col(text).isNotNull()).select(F.col(_ROW).alias("doc_id"), F.col(text).alias("text"))
+    context = page_context(pages_from_text(lines))
+    redacted = redact_blocks(context, rules, min_confidence, selection).where("redacted")
+    by_line = F.map_from_entries(F.collect_list(F.struct("block_no", "text")))
+    changes = redacted.groupBy(F.col("doc_id").alias(_ROW)).agg(by_line.alias(_CHANGES))
+    rebuilt = F.array_join(
+        F.transform(F.split(F.col(text), "\n", -1), lambda line, i: F.coalesce(F.try_element_at(F.col(_CHANGES), i.cast("long")), line)), "\n"
+    )
+    joined = numbered.join(changes, _ROW, "left")
+    return joined.withColumn(text, F.when(F.col(_CHANGES).isNull(), F.col(text)).otherwise(rebuilt)).select(*documents.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
-from inkveil.functions.text import clean_text, luhn_valid, preview, ssn_valid
+from inkveil.functions.text import clean_text, luhn_valid, preview
 from inkveil.operators import detect as D, layout, numbering, ocr_text, redact, reports
 from inkveil.plans.pipeline import text_context
 from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
@@ -19,8 +19,11 @@ from inkveil.sources.store import stage
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-CARD_RULES = RuleSet().add_pattern("CreditCard", CARD_PATTERN, (r"\bcard",), "[REDACTED CARD]", 0.5)
-SSN_RULES = RuleSet().add_pattern("SSN", SSN_PATTERN, (r"\bssn\b",), "[REDACTED SSN]", 0.5)
+#: The tables given here are a file or a few; searching them is spread over so many tasks.
+SPREAD = 32
+
+CARD_RULES = RuleSet().add_pattern("CreditCard", CARD_PATTERN, (r"\bcard",), "[REDACTED CARD]", 0.5, valid="luhn")
+SSN_RULES = RuleSet().add_pattern("SSN", SSN_PATTERN, (r"\bssn\b",), "[REDACTED SSN]", 0.5, valid="ssn")
 CUSTOM_RULES = DEFAULT_RULES.add_pattern(
     "Phone Numbers", BRACKETED_PHONE, requires=("+",)
 ).add_pattern("IP Addresses", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", (r"\bhost\b",), None, 0.6)
@@ -48,7 +51,7 @@ def query(f: Query) -> Query:
 
 
 def _documents(spark, sf) -> DataFrame:
-    return B.read_table(spark, f"{sf}/documents.parquet", spread_by="doc_id")
+    return B.read_table(spark, f"{sf}/documents.parquet", SPREAD)
 
 
 def _doc_context(spark, sf) -> DataFrame:
@@ -56,7 +59,7 @@ def _doc_context(spark, sf) -> DataFrame:
 
 
 def _form_pages(spark, sf) -> DataFrame:
-    return forms.customer_pages(B.read_table(spark, f"{sf}/customer.parquet", spread_by="c_custkey"))
+    return forms.customer_pages(B.read_table(spark, f"{sf}/customer.parquet", SPREAD))
 
 
 def _form_context(spark, sf) -> DataFrame:
@@ -73,7 +76,7 @@ def blocks_from_text(spark, sf):
 
 @query
 def blocks_from_turns(spark, sf):
-    turns = B.read_table(spark, f"{sf}/conversations.parquet", spread_by="conv_id")
+    turns = B.read_table(spark, f"{sf}/conversations.parquet", SPREAD)
     return B.blocks_from_text(turns, doc_id="conv_id", part="turn")
 
 
@@ -156,7 +159,7 @@ def block_context(spark, sf):
 @query
 def wide_page_context(spark, sf):
     """One page for each nation, its customers scattered over it; every page taken as large."""
-    customer = B.read_table(spark, f"{sf}/customer.parquet", spread_by="c_custkey")
+    customer = B.read_table(spark, f"{sf}/customer.parquet", SPREAD)
     key = F.col("c_custkey")
     x0 = (F.pmod(key * 37, F.lit(40)) * 9).cast("double")
     y0 = (F.pmod(F.floor(key / 50) * 3, F.lit(120)) * 4).cast("double")
@@ -217,16 +220,14 @@ def custom_pattern(spark, sf):
 
 @query
 def card_numbers(spark, sf):
-    found = D.detect(_doc_context(spark, sf), CARD_RULES)
-    return found.where(luhn_valid(F.col("match_text"))).select(*D.BLOCK_KEYS, "match_text", "start", "end")
+    """Valid card numbers only: the check is part of the rule."""
+    return D.detect(_doc_context(spark, sf), CARD_RULES).select(*D.BLOCK_KEYS, "match_text", "start", "end")
 
 
 @query
 def ssn(spark, sf):
-    found = D.detect(_form_context(spark, sf), SSN_RULES)
-    return found.select(
-        *D.BLOCK_KEYS, "match_text", "confidence", ssn_valid(F.col("match_text")).alias("valid")
-    )
+    """Valid numbers only: the check is part of the rule."""
+    return D.detect(_form_context(spark, sf), SSN_RULES).select(*D.BLOCK_KEYS, "match_text", "confidence")
 
 
 @query
@@ -280,6 +281,28 @@ def redact_spans_text(spark, sf):
     return redact.redact_spans(_doc_context(spark, sf))
 
 
+@query
+def redact_cards(spark, sf):
+    """Valid card numbers are replaced in place; an invalid one stays."""
+    return redact.redact_spans(_doc_context(spark, sf), CARD_RULES, min_confidence=0.5)
+
+
+@query
+def redact_documents(spark, sf):
+    return redact.redact_documents(_documents(spark, sf))
+
+
+@query
+def redact_documents_at_table_score(spark, sf):
+    """From 0.6 a hit in a table cell is enough, so most lines are redacted."""
+    return redact.redact_documents(_documents(spark, sf), min_confidence=0.6)
+
+
+@query
+def redact_blocks_at_table_score(spark, sf):
+    return redact.redact_blocks(_doc_context(spark, sf), min_confidence=0.6)
+
+
 @query
 def audit_log(spark, sf):
     return redact.audit_log(D.detect(_doc_context(spark, sf), min_confidence=redact.MIN_CONFIDENCE))

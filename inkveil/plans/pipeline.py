@@ -17,12 +17,12 @@ def text_context(df: DataFrame, **columns) -> DataFrame:
 
 
 def read_context(
-    spark: SparkSession, path: str, text_table: bool = True
+    spark: SparkSession, path: str, text_table: bool = True, spread: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Blocks with context of a stored text table, or of a stored block table; and the rows that
     cannot be used, with the reason."""
     if text_table:
-        table = block_source.read_table(spark, path, spread_by="doc_id")
+        table = block_source.read_table(spark, path, spread)
         usable, rejects = block_source.split_text_rejects(table)
         return text_context(usable), rejects
     usable, rejects = block_source.split_rejects(block_source.read_blocks(spark, path))

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from inkveil.functions.text import CHECKS
+
 # ---------------------------------------------------------------------------
 # Detection patterns, context labels, tokens and thresholds.
 # They decide which text is reported and must stay as they are.
@@ -137,12 +139,14 @@ class Pattern:
     """One regular expression.
 
     ``requires``: a match always holds at least one of these literals; a cheap substring test
-    then spares the regex. ``scan``: equivalent expression to run instead of ``regex``.
+    then spares the regex. ``scan``: equivalent expression to run instead of ``regex``. ``valid``: a
+    check of ``functions.text.CHECKS`` that a match has to pass to count.
     """
 
     regex: str
     requires: tuple[str, ...] = ()
     scan: str | None = None
+    valid: str | None = None
 
     @property
     def java(self) -> str:
@@ -173,9 +177,9 @@ class Category:
 
         Every number is still reported, but equal expressions are run once.
         """
-        groups: dict[str, tuple[Pattern, list[int]]] = {}
+        groups: dict[tuple, tuple[Pattern, list[int]]] = {}
         for i, p in enumerate(self.patterns):
-            groups.setdefault(p.java, (p, []))[1].append(i)
+            groups.setdefault((p.java, p.valid), (p, []))[1].append(i)
         return [(p, tuple(idx)) for p, idx in groups.values()]
 
 
@@ -205,8 +209,9 @@ class RuleSet:
         replacement: str | None = None,
         confidence_threshold: float = DEFAULT_THRESHOLD,
         requires: Iterable[str] = (),
+        valid: str | None = None,
     ) -> RuleSet:
-        """New rule set with one more pattern.
+        """New rule set with one more pattern; ``valid`` names a check that its matches have to pass.
 
         For a category that already exists, ``replacement`` and ``confidence_threshold`` are
         ignored and pattern and labels are appended.
@@ -215,7 +220,9 @@ class RuleSet:
         labels = tuple(labels)
         for l in labels:
             re.compile(l)
-        added = Pattern(pattern, tuple(requires))
+        if valid is not None and valid not in CHECKS:
+            raise ValueError(f"no such check: {valid!r}; there are {sorted(CHECKS)}")
+        added = Pattern(pattern, tuple(requires), valid=valid)
         if self.get(category) is None:
             return RuleSet(
                 self.categories
@@ -254,6 +261,9 @@ class RuleSet:
         Such a table has a row per category and profile: configuration, read on the driver.
         """
         rows = settings.where(F.col("profile") == profile).collect()
+        twice = {r.category for r in rows if sum(x.category == r.category for x in rows) > 1}
+        if twice:
+            raise ValueError(f"profile {profile!r} has several rows for {sorted(twice)}")
         chosen = {r.category: {k: r[k] for k in ("replacement", "threshold") if r[k] is not None} for r in rows}
         return self.override(chosen)
 
@@ -400,6 +410,6 @@ DEFAULT_RULES = RuleSet(
 BRACKETED_PHONE = r"\+\s*1[\s-]*\(\d{3}\)[\s-]*\d{3}[\s-]*\d{4}\b"
 EXTENDED_RULES = DEFAULT_RULES.add_pattern("Phone Numbers", BRACKETED_PHONE, requires=("+",))
 
-# Candidates for card and social security numbers; validity is a filter on top (functions.checks).
+# Candidates for card and social security numbers; the checks "luhn" and "ssn" tell which are valid.
 CARD_PATTERN = r"\b\d(?:[ -]?\d){12,18}\b"
 SSN_PATTERN = r"\b\d{3}-\d{2}-\d{4}\b"

@@ -45,17 +45,14 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A stored table. Rows of a table too small to occupy every core are spread by a key.
+def read_table(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+    """A stored table; with ``spread``, its rows are dealt out evenly to so many tasks.
 
-    Matching costs far more than moving the text; but a table of more splits than cores is left
-    as it is and not shuffled.
+    Matching costs far more than moving text, so a table of a few files is worth spreading. One of many
+    splits is not.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < 2 * cores:
-        df = df.repartition(4 * cores, spread_by)
-    return df
+    return df.repartition(spread) if spread else df
 
 
 def _block(block_no, x0, y0, x1, y1, text) -> Column:

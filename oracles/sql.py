@@ -221,8 +221,9 @@ kept AS (
     GROUP BY ALL))"""
 
 
-def spans_redacted(ctx: str, rules: RuleSet) -> str:
-    return f"""{ctx}, {matches(rules, 0.7)}, {KEPT},
+def spans_redacted(ctx: str, rules: RuleSet, min_confidence: float = 0.7, keep: str = "true") -> str:
+    kept = KEPT.replace("* FROM matches", f"* FROM matches WHERE {keep}")
+    return f"""{ctx}, {matches(rules, min_confidence)}, {kept},
 gaps AS (
   SELECT {KEYS}, s, lag(s.end, 1, 0) OVER (PARTITION BY {KEYS} ORDER BY s.start) AS gap FROM kept),
 rebuilt AS (
@@ -235,6 +236,15 @@ SELECT c.doc_id, c.page_no, c.block_no, x0, y0, x1, y1, coalesce(new_text, raw_t
 FROM ctx c LEFT JOIN rebuilt r ON c.doc_id = r.doc_id AND c.page_no = r.page_no AND c.block_no = r.block_no"""
 
 
+def documents_redacted(min_confidence: float) -> str:
+    """Documents with redacted lines put back."""
+    return f"""
+SELECT d.doc_id, string_agg(coalesce(r.text, d.line), chr(10) ORDER BY d.i) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
+FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) d
+LEFT JOIN (SELECT * FROM ({redacted(DOC_CTX, DEFAULT_RULES, min_confidence)}) WHERE redacted) r ON r.doc_id = d.doc_id AND r.block_no = d.i
+GROUP BY d.doc_id"""
+
+
 def usage(rules: RuleSet) -> str:
     """Matches by category, zero included."""
     rows = ", ".join(
@@ -343,8 +353,8 @@ SQL: dict[str, str] = {
     "custom_pattern": f"""{DOC_CTX}, {matches(catalog.CUSTOM_RULES)} SELECT {KEYS}, category, pattern_idx, match_text, "start", replacement FROM matches""",
     "card_numbers": f"""{DOC_CTX}, {matches(catalog.CARD_RULES)} SELECT {KEYS}, match_text, "start", "end" FROM matches WHERE {luhn('match_text')}""",
     "ssn": f"""{FORM_CTX}, {matches(catalog.SSN_RULES)}
-        SELECT {KEYS}, match_text, confidence, match_text[1:3] NOT IN ('000', '666') AND match_text[1] <> '9'
-          AND match_text[5:6] <> '00' AND match_text[8:11] <> '0000' AS valid FROM matches""",
+        SELECT {KEYS}, match_text, confidence FROM matches WHERE match_text[1:3] NOT IN ('000', '666') AND match_text[1] <> '9'
+          AND match_text[5:6] <> '00' AND match_text[8:11] <> '0000'""",
     "match_preview": f"""{DOC_MATCHES}
         SELECT {KEYS}, category, pattern_idx, match_idx, match_text, confidence, before, after, before || replacement || after AS proposed
         FROM (SELECT *, right(left(text, "start"), 20) AS before, left(substring(text, "end" + 1), 20) AS after FROM matches)""",
@@ -358,6 +368,10 @@ SQL: dict[str, str] = {
         SELECT {KEYS}, s.category AS category, s.pattern_idx AS pattern_idx, s.start AS "start", s.end AS "end", s.match_text AS match_text FROM kept""",
     "redact_spans": spans_redacted(FORM_CTX, DEFAULT_RULES),
     "redact_spans_text": spans_redacted(DOC_CTX, DEFAULT_RULES),
+    "redact_cards": spans_redacted(DOC_CTX, catalog.CARD_RULES, 0.5, luhn("match_text")),
+    "redact_documents": documents_redacted(0.7),
+    "redact_documents_at_table_score": documents_redacted(0.6),
+    "redact_blocks_at_table_score": redacted(DOC_CTX, DEFAULT_RULES, 0.6),
     "audit_log": f"""{DOC_CTX}, {matches(DEFAULT_RULES, 0.7)}
         SELECT {KEYS}, category, pattern_idx, "start", "end", confidence, replacement, sha256(match_text) AS match_sha256 FROM matches""",
     "replacement_index": f"""{DOC_MATCHES} SELECT {KEYS}, category, pattern_idx, "start",
