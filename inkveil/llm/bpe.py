@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from inkveil.llm.common import stage
+from inkveil.llm.common import discard, stage
 
 BLOCK = 32 << 20
 #: Documents packed into one row.
@@ -223,6 +223,7 @@ def encode_decode(docs: DataFrame, path: str, finish: Callable = ids_and_text, c
     lists = split.where("words is not null").select("block", "words")
     vocabulary = stage(encode_words(lists.select(F.explode("words").alias("word")), shared))
     by_block = stage(ids_by_block(lists, vocabulary))
+    discard(vocabulary)
     return join_back(split.where("words is null").drop("words"), by_block, pieces, finish, columns)
 
 
