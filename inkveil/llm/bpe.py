@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,6 +129,7 @@ def split_documents(docs: DataFrame, shared) -> DataFrame:
                 if size >= BLOCK:
                     yield from flush()
                     block, size, known, ids, places = block + 1, 0, {}, [], []
+                    pa.default_memory_pool().release_unused()
         yield from flush()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SPLIT)
@@ -138,6 +140,7 @@ def encode_words(words: DataFrame, shared) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads hold memory of their own
         tokenizer = plain_tokenizer(shared.value)
         for batch in batches:
             for a in range(0, max(1, len(batch)), 2000):
