@@ -5,9 +5,11 @@ a text and the probabilities of the categories before it. In training, these pro
 models that have not seen the row (out of fold), so that a later model learns from what it will meet.
 
 The models are fitted on a bounded sample of the labelled documents (``most_rows``, by a hash of the
-id); every document is scored. A feature is a distinct word, or the first four or five letters of a
-word, hashed into ``2 ** BITS`` cells. Only cells whose share differs between the two classes of a
-category by ``LEAST_Z`` standard errors, and that stand in ``LEAST_DOCS`` rows, get a weight.
+id); every document is scored. A feature is a distinct word or run of signs, or the first four or five
+letters of a word, hashed into ``2 ** BITS`` cells. Only cells whose share differs between the two classes
+of a category by ``LEAST_Z`` standard errors and a factor of ``LEAST_RATIO``, and that stand in
+``LEAST_DOCS`` rows and ``LEAST_SHARE`` of the rows of a class, get a weight. Copies and near copies in the sample count once: else every word of a
+toxic text that was copied would seem to be toxic.
 
 Defined results: null, empty and wordless texts are scored by the intercepts alone; labels that are
 null or of unknown documents teach nothing; of several labels of a document each counts as a row; a
@@ -27,8 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 20
-LEAST_Z, LEAST_DOCS = 4.0, 5
-_WORD = re.compile(r"\w+")
+LEAST_Z, LEAST_DOCS, LEAST_SHARE = 5.0, 5, 0.01
+#: Copies in the sample are found by so many bands of so many minimum hashes.
+BANDS, BAND = 3, 10
+#: Frequencies in the two classes of a category differ by this factor at least.
+LEAST_RATIO = 4.0
+_WORD = re.compile(r"\w+|[^\w\s]{2,}")
 
 
 def features(text: str | None) -> np.ndarray:
@@ -54,7 +60,24 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 200, l2: float = 1e-3):
+def without_copies(cells: list[np.ndarray]) -> list[int]:
+    """Numbers of the rows whose cells are not, nearly, those of an earlier row."""
+    odd = np.random.default_rng(5).integers(1, 1 << 62, (2, BANDS * BAND), np.int64).view(np.uint64) | np.uint64(1)
+    seen: set[tuple] = set()
+    kept = []
+    for i, own in enumerate(cells):
+        if len(own):
+            mixed = (own.astype(np.uint64)[:, None] + np.uint64(1)) * odd[0] ^ odd[1]
+            least = (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=0)
+            keys = [(b, *least[b * BAND : (b + 1) * BAND].tolist()) for b in range(BANDS)]
+            if not seen.isdisjoint(keys):
+                continue
+            seen.update(keys)
+        kept.append(i)
+    return kept
+
+
+def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 300, l2: float = 1e-5):
     """Weights of the cells, of the earlier probabilities, and the intercept, from the rows in ``use``."""
     share = y[use].mean() if use.any() else 0.0
     weights, chain = np.zeros(1 << BITS), np.zeros(extra.shape[1])
@@ -67,7 +90,9 @@ def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: in
     c0 = np.bincount(cell, y[row] == 0, 1 << BITS)
     p = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((z >= LEAST_Z) & (c1 + c0 >= LEAST_DOCS))
+    frequent = (c1 + c0 >= LEAST_DOCS) & (np.maximum(c1 / n1, c0 / n0) >= LEAST_SHARE)
+    apart = np.abs(np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))) >= np.log(LEAST_RATIO)
+    chosen = np.flatnonzero((z >= LEAST_Z) & frequent & apart)
     at = np.full(1 << BITS, -1)
     at[chosen] = np.arange(len(chosen))
     here = at[cell] >= 0
@@ -114,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("own")).select(sample["own"].cast("long"), *names, "text")
     schema = "own long, " + ", ".join(f"{c} double" for c in names) + ", cells array<int>"
     got = sorted(texts.mapInArrow(run, schema).collect(), key=lambda r: r[0])  # at most most_rows rows
+    got = [got[i] for i in without_copies([np.array(r[-1], np.int64) for r in got])]
     y = np.array([r[1:-1] for r in got], float).reshape(len(got), len(categories))
     fold = np.array([crc32(str(r[0]).encode()) % folds for r in got], int)
     return fit_chain(Rows([np.array(r[-1], np.int64) for r in got]), y, fold, folds)
