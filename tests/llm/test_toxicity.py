@@ -48,3 +48,16 @@ def test_edges(spark):
     assert not any(r.toxic for r in toxicity.toxic_documents(docs, one_class).collect())
     assert toxicity.toxic_documents(docs.limit(0), one_class).count() == 0
     assert toxicity.without_toxic(docs, one_class).count() == 5
+
+
+def test_copies_in_the_sample_count_once():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    texts = [np.unique(r.integers(0, 1 << toxicity.BITS, 150)) for _ in range(40)]
+    near = [np.delete(t, 3) for t in texts]  # one word exchanged or gone
+    empty = np.zeros(0, np.int64)
+    kept = toxicity.without_copies(texts + texts + [empty, empty])
+    assert kept == [*range(40), 80, 81]  # rows without words are not copies
+    again = toxicity.without_copies(texts + near)
+    assert again[:40] == list(range(40)) and len(again) <= 42
