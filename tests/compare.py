@@ -24,7 +24,9 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         kind = df[c].dtype.kind
-        if kind in "iu":
+        if kind in "iu" and df[c].isna().any():
+            df[c] = df[c].astype("Int64").astype(object)
+        elif kind in "iu":
             df[c] = df[c].astype("int64")
         elif kind == "f" and df[c].isna().any() and (df[c].dropna() % 1 == 0).all():
             df[c] = df[c].astype("Int64").astype(object)
