@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, decontaminate, language, licenses, sharding, simhash, spots, sql, substrings, suffixes, toxicity
+from inkveil.llm import bpe, decontaminate, divergence, hard_negatives, language, licenses, main_text, sharding, simhash, spots, sql, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +54,23 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses, op9_spots, op10_suffixes)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, moved, positives=5, negatives=3, low=50, high=95)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, most=50)
+
+
+OPERATORS = (
+    op1_substrings, op2_simhash, op3_toxicity, op4_bpe, op5_decontaminate, op6_sharding, op7_language, op8_licenses, op9_spots, op10_suffixes,
+    op11_main_text, op12_hard_negatives, op13_divergence,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 SQL = sql.SQL

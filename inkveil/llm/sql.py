@@ -63,4 +63,46 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_base, first AS
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN shares USING (doc_id)"""
 
 
-SQL = {"op1_substrings": SUBSTRINGS, "op8_licenses": licenses(), "op10_suffixes": SUFFIXES}
+NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.l = b.l AS alike, list_inner_product(a.q, b.q)::BIGINT AS s
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+near AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id, b) <= 5),
+met AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.vec_id, n.b) AS rank
+  FROM near p JOIN scored n ON n.a = p.a AND NOT n.alike AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 3"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+  coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS ln FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (g.total + 5 * v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (ln + 5)) // (l.total + 5 * v)::HUGEINT AS q
+  FROM groups g JOIN kept USING (lang) JOIN langs l USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM cells WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+SQL = {
+    "op1_substrings": SUBSTRINGS,
+    "op8_licenses": licenses(),
+    "op10_suffixes": SUFFIXES,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_divergence": DIVERGENCE,
+}
