@@ -102,6 +102,19 @@ def hits(fenced_text: Column) -> Column:
     return let(F.split(fenced_text, FENCE, -1), read)
 
 
+def starts(pieces: Column) -> Column:
+    """Where each piece of a text begins, in code points; measured by chunks like ``hits``."""
+
+    def in_chunk(first: Column) -> Column:
+        chunk = F.struct(
+            F.slice(pieces, first, F.lit(_CHUNK)).alias("part"),
+            _length(F.slice(pieces, F.lit(1), first - 1)).alias("offset"),
+        )
+        return let(chunk, lambda c: F.transform(c["part"], lambda _, i: c["offset"] + _length(F.slice(c["part"], F.lit(1), i))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(_CHUNK)), in_chunk))
+
+
 def _length(pieces: Column) -> Column:
     return F.length(F.array_join(pieces, ""))
 

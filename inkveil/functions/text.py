@@ -16,11 +16,21 @@ _UNPRINTABLE = r"[[^ -~]&&[\p{C}\p{Z}]]"
 _SPACE_RUN = r"(?U)[[^!-~]&&[\s\x1c-\x1f]]+"
 
 
-def clean_text(text: Column) -> Column:
-    """Repair characters often misread, drop unprintable ones, collapse and trim spaces."""
+#: What cleaning takes away or makes one space of: a run that holds anything unprintable, of several spaces,
+#: or of spaces at an end.
+SHORTENED = rf"[ {_UNPRINTABLE}]*{_UNPRINTABLE}[ {_UNPRINTABLE}]*| {{2,}}|\A +| +\z"
+
+
+def repaired(text: Column) -> Column:
+    """Characters often misread, one for one."""
     for wrong, right in zip(CLEAN_FROM, CLEAN_TO):
         text = F.replace(text, F.lit(wrong), F.lit(right))
-    printable = F.regexp_replace(text, _UNPRINTABLE, "")
+    return text
+
+
+def clean_text(text: Column) -> Column:
+    """Repair characters often misread, drop unprintable ones, collapse and trim spaces."""
+    printable = F.regexp_replace(repaired(text), _UNPRINTABLE, "")
     return F.trim(F.regexp_replace(printable, " {2,}", " "))
 
 

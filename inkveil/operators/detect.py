@@ -7,11 +7,12 @@ patterns run only where a hit could be reported. Everything here works row by ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import scan
+from inkveil.functions.origin import origin, source_span
 from inkveil.rules import DEFAULT_RULES, Category, RuleSet
 
 # The parts of the score and the shortest text that is searched.
@@ -20,6 +21,9 @@ LABEL_BOOST = 0.3
 TABLE_BOOST = 0.1
 MIN_LENGTH = 2
 
+#: How a block's fields are read: as columns of the row, or from a struct within it.
+Block = Callable[[str], Column]
+
 BLOCK_KEYS = ["doc_id", "page_no", "block_no"]
 MATCH_COLUMNS = [
     *BLOCK_KEYS, "category", "category_ord", "pattern_idx", "match_idx",
@@ -27,15 +31,13 @@ MATCH_COLUMNS = [
 ]
 
 
-def with_label_hint(
-    blocks: DataFrame, rules: RuleSet, min_confidence: float | None = None
-) -> DataFrame:
-    """Adds ``label_near``: can a label of any category occur beside the block?
+def label_near(rules: RuleSet, min_confidence: float | None = None, block: Block = F.col) -> Column:
+    """Can a label of any category occur beside the block?
 
     One search for the words of all labels spares most blocks the search for each category's. With
     ``min_confidence`` blocks whose score is settled without labels are not searched at all.
     """
-    before, after = F.col("preceding_text"), F.col("following_text")
+    before, after = block("preceding_text"), block("following_text")
     regex = rules.label_hint
     near = F.lit(False)
     if regex:
@@ -47,12 +49,17 @@ def with_label_hint(
         )
         return near if open_ else F.lit(False)
 
-    return blocks.withColumn(
-        "label_near", F.when(F.col("is_table_cell"), hint(TABLE_BOOST)).otherwise(hint(0.0))
-    )
+    return F.when(block("is_table_cell"), hint(TABLE_BOOST)).otherwise(hint(0.0))
 
 
-def labelled(category: Category) -> Column:
+def with_label_hint(
+    blocks: DataFrame, rules: RuleSet, min_confidence: float | None = None
+) -> DataFrame:
+    """Adds ``label_near``."""
+    return blocks.withColumn("label_near", label_near(rules, min_confidence))
+
+
+def labelled(category: Category, block: Block = F.col) -> Column:
     """Does a label of the category occur in the text beside the block?
 
     The block's own text is not asked, and text that is empty on one side is not asked either.
@@ -60,8 +67,8 @@ def labelled(category: Category) -> Column:
     regex = category.label_regex
     if regex is None:
         return F.lit(False)
-    before, after = F.col("preceding_text"), F.col("following_text")
-    return F.col("label_near") & (before.rlike(regex) | after.rlike(regex))
+    before, after = block("preceding_text"), block("following_text")
+    return block("label_near") & (before.rlike(regex) | after.rlike(regex))
 
 
 def _settled(category: Category, table: float, min_confidence: float) -> bool | None:
@@ -80,11 +87,11 @@ def confidence(category: Category) -> Column:
     )
 
 
-def searchable() -> Column:
-    return F.length("text") >= MIN_LENGTH
+def searchable(block: Block = F.col) -> Column:
+    return F.length(block("text")) >= MIN_LENGTH
 
 
-def reported(category: Category, min_confidence: float = 0.0) -> Column:
+def reported(category: Category, min_confidence: float = 0.0, block: Block = F.col) -> Column:
     """Would a hit of the category be reported in this block?
 
     Same as ``confidence(category) >= threshold``; but a score that passes, or fails, whatever
@@ -93,9 +100,9 @@ def reported(category: Category, min_confidence: float = 0.0) -> Column:
 
     def passes(table: float) -> Column:
         settled = _settled(category, table, min_confidence)
-        return labelled(category) if settled is None else F.lit(settled)
+        return labelled(category, block) if settled is None else F.lit(settled)
 
-    return searchable() & F.when(F.col("is_table_cell"), passes(TABLE_BOOST)).otherwise(passes(0.0))
+    return searchable(block) & F.when(block("is_table_cell"), passes(TABLE_BOOST)).otherwise(passes(0.0))
 
 
 def score_table(blocks: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
@@ -173,6 +180,19 @@ def detect(
     return hits.withColumn("pattern_idx", F.explode("pattern_idxs")).select(*MATCH_COLUMNS, *keep)
 
 
+def detect_in_source(
+    blocks: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confidence: float = 0.0, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Matches with ``raw_start`` and ``raw_end``, the place of each in the text as it was before cleaning.
+
+    Where the places differ is worked out once for each block, and only in blocks that cleaning shortened.
+    """
+    known = blocks.withColumn("origin", origin(F.col("raw_text"), F.col("text")))
+    matches = detect(known, rules, min_confidence, keep=["origin", *keep])
+    start, end = source_span(F.col("start"), F.col("end"), F.col("origin"))
+    return matches.select(*MATCH_COLUMNS, *keep, start.alias("raw_start"), end.alias("raw_end"))
+
+
 def by_order(column: str, values: Sequence[Column]) -> Column:
     """The value at the position a column names; only that one is evaluated."""
     chosen = F.when(F.col(column) == 0, values[0])

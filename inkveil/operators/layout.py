@@ -25,41 +25,42 @@ def assemble_pages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE_KEYS).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
 
 
-def page_context(pages: DataFrame) -> DataFrame:
-    """Merged blocks with context, from page rows.
+def beside(blocks: Column) -> Column:
+    """The blocks of a page as others see them: boxes, and texts as read beside a block."""
+    return F.transform(
+        blocks,
+        lambda b: F.struct(
+            *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")],
+            beside_text(b["text"]).alias("beside"),
+        ),
+    )
+
+
+def context_of(m: Column, raw: Column) -> Column:
+    """A merged block with its context, from the raw blocks of its page (``beside``).
 
     Merging the neighbours of a block before joining their texts would change nothing: both
     put a single space between texts.
     """
-    prepared = pages.select(
-        *PAGE_KEYS,
-        merged(F.col("blocks")).alias("merged"),
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")],
-                beside_text(b["text"]).alias("beside"),
-            ),
-        ).alias("raw"),
-    )
-    raw = F.col("raw")
 
     def near(rect) -> Column:
         found = F.filter(raw, lambda b: overlaps(rect, b) & (b["beside"] != ""))
         return F.array_join(F.transform(found, lambda b: b["beside"]), " ")
 
-    def with_context(m: Column) -> Column:
-        return F.struct(
-            *[m[f.name].alias(f.name) for f in BLOCK_STRUCT.fields],
-            # Nothing lies left of the page's edge.
-            F.when(m["x0"] > 0, near(left_rect(m))).otherwise("").alias("preceding_text"),
-            near(right_rect(m)).alias("following_text"),
-            (
-                F.size(F.filter(raw, lambda b: aligned(m, b) & ~same_box(m, b))) >= MIN_ALIGNED
-            ).alias("is_table_cell"),
-        )
-
-    return _cleaned(prepared.select(*PAGE_KEYS, F.inline(F.transform("merged", with_context))))
+    return F.struct(
+        *[m[f.name].alias(f.name) for f in BLOCK_STRUCT.fields],
+        # Nothing lies left of the page's edge.
+        F.when(m["x0"] > 0, near(left_rect(m))).otherwise("").alias("preceding_text"),
+        near(right_rect(m)).alias("following_text"),
+        (F.size(F.filter(raw, lambda b: aligned(m, b) & ~same_box(m, b))) >= MIN_ALIGNED).alias("is_table_cell"),
+    )
+
+
+def page_context(pages: DataFrame) -> DataFrame:
+    """Merged blocks with context, from page rows."""
+    prepared = pages.select(*PAGE_KEYS, merged(F.col("blocks")).alias("merged"), beside(F.col("blocks")).alias("raw"))
+    contexts = F.transform("merged", lambda m: context_of(m, F.col("raw")))
+    return _cleaned(prepared.select(*PAGE_KEYS, F.inline(contexts)))
 
 
 def block_context(blocks: DataFrame, max_page_blocks: int = MAX_PAGE_BLOCKS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import scan
 from inkveil.functions.arrays import let
-from inkveil.operators.detect import BLOCK_KEYS, by_order, reported, with_label_hint
+from inkveil.operators.detect import BLOCK_KEYS, Block, by_order, reported, with_label_hint
 from inkveil.operators.layout import page_context
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.sources.blocks import pages_from_text
@@ -37,16 +37,21 @@ def redact_blocks(
     match is made into a row.
     """
     chosen = rules.selected(selection)
-    tokens = F.array_compact(
+    tokens = block_tokens(chosen, min_confidence)
+    hinted = with_label_hint(context, chosen, min_confidence)
+    return _with_tokens(hinted.select(*BLOCK_KEYS, *_BOX, "raw_text", tokens.alias("tokens")))
+
+
+def block_tokens(rules: RuleSet, min_confidence: float, block: Block = F.col) -> Column:
+    """Tokens of the categories of which the block holds a match, in rule order."""
+    return F.array_compact(
         F.array(
             *[
-                F.when(reported(c, min_confidence) & scan.any_occurs(F.col("text"), c), c.token)
-                for c in chosen.categories
+                F.when(reported(c, min_confidence, block) & scan.any_occurs(block("text"), c), c.token)
+                for c in rules.categories
             ]
         )
     )
-    hinted = with_label_hint(context, chosen, min_confidence)
-    return _with_tokens(hinted.select(*BLOCK_KEYS, *_BOX, "raw_text", tokens.alias("tokens")))
 
 
 def redact_matched(context: DataFrame, matches: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -85,7 +90,7 @@ _SPAN = "struct<start:int,end:int,category_ord:int,pattern_idx:int,match_text:st
 _RANKED = "struct<rank:int,category_ord:int,pattern_idx:int,start:int,end:int,match_text:string>"
 
 
-def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
+def kept_spans(rules: RuleSet, min_confidence: float, block: Block = F.col) -> Column:
     """The non-overlapping spans of a block: longest first, ties by category, pattern, position.
 
     Equal patterns give equal spans, of which the first pattern's wins; so each is run once.
@@ -99,12 +104,12 @@ def _kept_spans(rules: RuleSet, min_confidence: float) -> Column:
                     F.lit(i).alias("category_ord"),
                     F.lit(numbers[0]).alias("pattern_idx"),
                     F.lit(p.valid).cast("string").alias("check"),
-                    scan.fenced(F.col("text"), p).alias("fenced"),
+                    scan.fenced(block("text"), p).alias("fenced"),
                 )
                 for p, numbers in c.distinct_patterns()
             ]
         )
-        runs.append(F.when(reported(c, min_confidence), of_category))
+        runs.append(F.when(reported(c, min_confidence, block), of_category))
 
     checked = [p for c in rules.categories for p in c.patterns if p.valid]
 
@@ -184,7 +189,7 @@ def _struct(span: Column, shape: str, **own: Column) -> Column:
 def dedupe_spans(context: DataFrame, rules: RuleSet = DEFAULT_RULES, min_confidence: float = 0.0) -> DataFrame:
     """Matches of which no two overlap. Decided within the block's row, without a shuffle."""
     hinted = with_label_hint(context, rules, min_confidence)
-    return hinted.select(*BLOCK_KEYS, F.inline(_kept_spans(rules, min_confidence))).select(
+    return hinted.select(*BLOCK_KEYS, F.inline(kept_spans(rules, min_confidence))).select(
         *BLOCK_KEYS,
         by_order("category_ord", [F.lit(c.name) for c in rules.categories]).alias("category"),
         "pattern_idx", "start", "end", "match_text",
@@ -200,7 +205,7 @@ def redact_spans(
     """Replace just the matched spans, in the cleaned text, by their category's token."""
     chosen = rules.selected(selection)
     spans = with_label_hint(context, chosen, min_confidence).select(
-        *BLOCK_KEYS, *_BOX, "raw_text", "text", _kept_spans(chosen, min_confidence).alias("spans")
+        *BLOCK_KEYS, *_BOX, "raw_text", "text", kept_spans(chosen, min_confidence).alias("spans")
     )
 
     def piece(s: Column, i: Column) -> Column:

@@ -10,7 +10,7 @@ from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
 from inkveil.functions.text import clean_text, luhn_valid, preview
-from inkveil.operators import detect as D, layout, numbering, ocr_text, redact, reports
+from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports
 from inkveil.plans.pipeline import text_context
 from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
 from inkveil.sources import blocks as B, forms
@@ -66,6 +66,17 @@ def _form_context(spark, sf) -> DataFrame:
     return layout.page_context(_form_pages(spark, sf))
 
 
+#: What is put into the documents' texts, so that cleaning has something to take away: (found, put in its place).
+NOISE = ((" the ", "  the\t "), (", ", ",\u200b "), (" de ", "\u00a0 de  "), ("\n", " \n\u00ad  "))
+
+
+def _noisy_context(spark, sf) -> DataFrame:
+    text = F.col("text")
+    for found, put in NOISE:
+        text = F.replace(text, F.lit(found), F.lit(put))
+    return text_context(_documents(spark, sf).withColumn("text", text))
+
+
 # --- sources -------------------------------------------------------------------------------
 
 
@@ -202,6 +213,16 @@ def match_offsets(spark, sf):
     )
 
 
+@query
+def raw_offsets(spark, sf):
+    """Places of the matches in the text before cleaning, and what stands there."""
+    matches = D.detect_in_source(_noisy_context(spark, sf), keep=["raw_text"])
+    return matches.select(
+        *D.BLOCK_KEYS, "category", "pattern_idx", "match_idx", "start", "raw_start", "raw_end",
+        F.col("raw_text").substr(F.col("raw_start") + 1, F.col("raw_end") - F.col("raw_start")).alias("raw_match"),
+    )
+
+
 @query
 def ordered_matches(spark, sf):
     return redact_columns(reports.ordered_matches(D.detect(_form_context(spark, sf))))
@@ -298,6 +319,28 @@ def redact_documents_at_table_score(spark, sf):
     return redact.redact_documents(_documents(spark, sf), min_confidence=0.6)
 
 
+@query
+def redact_documents_in_place(spark, sf):
+    """Without a shuffle: every text is rewritten in its own row."""
+    return in_place.redact_in_place(_documents(spark, sf))
+
+
+@query
+def redact_documents_in_place_at_table_score(spark, sf):
+    return in_place.redact_in_place(_documents(spark, sf), min_confidence=0.6)
+
+
+@query
+def redact_document_spans_in_place(spark, sf):
+    """Only the matches are replaced, in the text as it was."""
+    return in_place.redact_in_place(_documents(spark, sf), min_confidence=0.6, spans=True)
+
+
+@query
+def redact_spans_in_source(spark, sf):
+    return in_place.redact_spans_in_source(_noisy_context(spark, sf), min_confidence=0.6)
+
+
 @query
 def redact_blocks_at_table_score(spark, sf):
     return redact.redact_blocks(_doc_context(spark, sf), min_confidence=0.6)

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.operators import detect as detection, layout, redact, reports
+from inkveil.operators import detect as detection, in_place, layout, redact, reports
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.sources import blocks as block_source, store
 
@@ -61,20 +61,27 @@ def anonymize(
 ) -> str:
     """Write a redacted copy beside the input and return its path.
 
-    ``spans`` redacts the matched text instead of the whole block. With ``audit_path`` the log of
-    what was changed is written too. Rows that cannot be used are written to ``rejects_path``;
-    where none is given they make the job fail, so that no part of the input goes missing unseen.
+    Of a text table every row and every column comes back, with its text redacted in its own row; a null text
+    stays null. ``spans`` redacts the matched text instead of the whole line. With ``audit_path`` the
+    log of what was changed is written too. ``rejects_path`` takes the rows that could not be searched, with the reason; for a
+    block table, whose output leaves such rows out, it has to be given where there are any.
     """
-    context, rejects = read_context(spark, path, text_table)
+    if text_table:
+        table = block_source.read_table(spark, path)
+        usable, rejects = block_source.split_text_rejects(table)
+        redacted = in_place.redact_in_place(table, rules, min_confidence, selected_categories, spans=spans)
+    else:
+        usable, rejects = block_source.split_rejects(block_source.read_blocks(spark, path))
+        context = layout.block_context(usable)
+        redaction = redact.redact_spans if spans else redact.redact_blocks
+        redacted = redaction(context, rules, min_confidence, selected_categories)
     if rejects_path:
         rejects.write.mode("errorifexists").parquet(rejects_path)
-    elif not rejects.isEmpty():
+    elif not text_table and not rejects.isEmpty():
         raise ValueError(f"{path} holds rows that cannot be used; give a rejects_path for them")
-    redaction = redact.redact_spans if spans else redact.redact_blocks
-    written = store.write_redacted(
-        redaction(context, rules, min_confidence, selected_categories), path, output_path
-    )
+    written = store.write_redacted(redacted, path, output_path)
     if audit_path:
+        context = text_context(usable) if text_table else context
         matches = detection.detect(context, rules.selected(selected_categories), min_confidence)
         redact.audit_log(matches).write.mode("errorifexists").parquet(audit_path)
     return written

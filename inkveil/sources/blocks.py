@@ -81,25 +81,24 @@ def pages_from_text(
     numbered = df.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         first.alias("first_page"),
-        F.posexplode(_in_pages(lines)).alias("pos", "page_lines"),
+        F.posexplode(in_pages(lines)).alias("pos", "page_lines"),
     ).select("doc_id", (F.col("first_page") + F.col("pos")).alias("page_no"), "page_lines")
 
     def line(text: Column, row: Column) -> Column:
-        y0 = row * LINE_PITCH
-        return _block(
-            local_page * LINES_PER_PAGE + row,
-            F.lit(0),
-            y0,
-            F.length(text) * CHAR_WIDTH,
-            y0 + LINE_HEIGHT,
-            text,
-        )
+        return line_block(local_page * LINES_PER_PAGE + row, text, row)
 
     blocks = F.filter(F.transform("page_lines", line), lambda b: b["text"] != "")
     return numbered.select("doc_id", "page_no", blocks.alias("blocks"))
 
 
-def _in_pages(lines: Column) -> Column:
+def line_block(block_no: Column, text: Column, row: Column) -> Column:
+    """The block of a line of plain text, in a row of its page."""
+    y0 = row * LINE_PITCH
+    return _block(block_no, F.lit(0), y0, F.length(text) * CHAR_WIDTH, y0 + LINE_HEIGHT, text)
+
+
+def in_pages(lines: Column) -> Column:
+    """Lines as an array of pages."""
     return let(
         lines,
         lambda ls: F.transform(

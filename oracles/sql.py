@@ -149,6 +149,12 @@ shaded AS MATERIALIZED (
   SELECT *, {shadow('text')} AS shadow, {shadow('preceding_text')} AS pre_shadow, {shadow('following_text')} AS post_shadow
   FROM ctx)"""
 
+NOISY_TEXT = "text"
+for _found, _put in catalog.NOISE:
+    NOISY_TEXT = f"replace({NOISY_TEXT}, {q(_found)}, {q(_put)})"
+NOISY_RAW = DOC_RAW.replace("FROM documents)", f"FROM (SELECT doc_id, {NOISY_TEXT} AS text FROM documents))")
+NOISY_CTX = f"WITH {NOISY_RAW}, {MERGED}, {CONTEXT}"
+
 DOC_CTX = f"WITH {DOC_RAW}, {MERGED}, {CONTEXT}"
 FORM_CTX = f"WITH {FORM_RAW}, {MERGED}, {CONTEXT}"
 
@@ -236,12 +242,46 @@ SELECT c.doc_id, c.page_no, c.block_no, x0, y0, x1, y1, coalesce(new_text, raw_t
 FROM ctx c LEFT JOIN rebuilt r ON c.doc_id = r.doc_id AND c.page_no = r.page_no AND c.block_no = r.block_no"""
 
 
-def documents_redacted(min_confidence: float) -> str:
+# Every character of the source that cleaning keeps, with its place in the cleaned text.
+PLACES = f"""
+letters AS (
+  SELECT {KEYS}, unnest(regexp_extract_all(raw_text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(raw_text, '(?s).'), 1) - 1 AS pos FROM ctx),
+printable AS (
+  SELECT {KEYS}, pos, c, lag(c) OVER (PARTITION BY {KEYS} ORDER BY pos) AS before
+  FROM (SELECT {KEYS}, pos, translate(c, '|O¡¦—–\u00ad', 'I0iI---') AS c FROM letters) WHERE NOT regexp_matches(c, '[\\p{{C}}{WIDE_SPACES}]')),
+places AS MATERIALIZED (
+  SELECT {KEYS}, list(pos ORDER BY pos) AS ps FROM printable WHERE c <> ' ' OR before <> ' ' GROUP BY ALL)"""
+
+RAW_MATCHES = f"""
+raw_matches AS (
+  SELECT m.*, c.raw_text, ps["start" + 1]::INTEGER AS raw_start, (ps["end"] + 1)::INTEGER AS raw_end
+  FROM matches m JOIN ctx c ON c.doc_id = m.doc_id AND c.page_no = m.page_no AND c.block_no = m.block_no
+  JOIN places p ON p.doc_id = m.doc_id AND p.page_no = m.page_no AND p.block_no = m.block_no)"""
+
+
+def source_spans_redacted(ctx: str, rules: RuleSet, min_confidence: float) -> str:
+    """Blocks with spans replaced in the text before cleaning."""
+    return f"""{ctx}, {matches(rules, min_confidence)}, {KEPT}, {PLACES},
+placed_spans AS (
+  SELECT s.replacement AS token, k.doc_id, k.page_no, k.block_no, ps[s.start + 1] AS a, ps[s.end] + 1 AS z
+  FROM kept k JOIN places p ON p.doc_id = k.doc_id AND p.page_no = k.page_no AND p.block_no = k.block_no),
+gaps AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY {KEYS} ORDER BY a) AS gap FROM placed_spans),
+rebuilt AS (
+  SELECT g.doc_id, g.page_no, g.block_no,
+    string_agg(substring(c.raw_text, gap + 1, a - gap) || token, '' ORDER BY a) || substring(any_value(c.raw_text), max(z) + 1) AS new_text
+  FROM gaps g JOIN ctx c ON g.doc_id = c.doc_id AND g.page_no = c.page_no AND g.block_no = c.block_no
+  GROUP BY g.doc_id, g.page_no, g.block_no)
+SELECT c.doc_id, c.page_no, c.block_no, x0, y0, x1, y1, coalesce(new_text, raw_text) AS text, new_text IS NOT NULL AS redacted
+FROM ctx c LEFT JOIN rebuilt r ON c.doc_id = r.doc_id AND c.page_no = r.page_no AND c.block_no = r.block_no"""
+
+
+def documents_redacted(min_confidence: float, blocks: str | None = None) -> str:
     """Documents with redacted lines put back."""
+    blocks = blocks or redacted(DOC_CTX, DEFAULT_RULES, min_confidence)
     return f"""
 SELECT d.doc_id, string_agg(coalesce(r.text, d.line), chr(10) ORDER BY d.i) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
 FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) d
-LEFT JOIN (SELECT * FROM ({redacted(DOC_CTX, DEFAULT_RULES, min_confidence)}) WHERE redacted) r ON r.doc_id = d.doc_id AND r.block_no = d.i
+LEFT JOIN (SELECT * FROM ({blocks}) WHERE redacted) r ON r.doc_id = d.doc_id AND r.block_no = d.i
 GROUP BY d.doc_id"""
 
 
@@ -371,6 +411,12 @@ SQL: dict[str, str] = {
     "redact_cards": spans_redacted(DOC_CTX, catalog.CARD_RULES, 0.5, luhn("match_text")),
     "redact_documents": documents_redacted(0.7),
     "redact_documents_at_table_score": documents_redacted(0.6),
+    "redact_documents_in_place": documents_redacted(0.7),
+    "redact_documents_in_place_at_table_score": documents_redacted(0.6),
+    "redact_document_spans_in_place": documents_redacted(0.6, source_spans_redacted(DOC_CTX, DEFAULT_RULES, 0.6)),
+    "redact_spans_in_source": source_spans_redacted(NOISY_CTX, DEFAULT_RULES, 0.6),
+    "raw_offsets": f"""{NOISY_CTX}, {matches(DEFAULT_RULES)}, {PLACES}, {RAW_MATCHES}
+        SELECT {KEYS}, category, pattern_idx, match_idx, "start", raw_start, raw_end, substring(raw_text, raw_start + 1, raw_end - raw_start) AS raw_match FROM raw_matches""",
     "redact_blocks_at_table_score": redacted(DOC_CTX, DEFAULT_RULES, 0.6),
     "audit_log": f"""{DOC_CTX}, {matches(DEFAULT_RULES, 0.7)}
         SELECT {KEYS}, category, pattern_idx, "start", "end", confidence, replacement, sha256(match_text) AS match_sha256 FROM matches""",

@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def tables(sf_dir: str):
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '4GB'")
     for f in glob.glob(f"{sf_dir}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return con

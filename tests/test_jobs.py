@@ -1,16 +1,19 @@
 """Whole jobs, streams, plans, and the queries against SQL."""
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import compare
+from inkveil.operators.in_place import redact_in_place
 from inkveil.operators.ocr_text import ocr_page_text
 from inkveil.operators.redact import redact_blocks
 from inkveil.plans import pipeline
 from inkveil.sources import store
 from inkveil.sources.blocks import blocks_from_text
-from inkveil.streaming.redaction import redact_stream, write_stream
+from inkveil.streaming import redaction
+from inkveil.streaming.redaction import redact_stream, write_apart, write_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,25 +39,37 @@ def test_anonymize_writes_a_new_table(spark, letters, tmp_path):
     log = str(tmp_path / "log")
     out = pipeline.anonymize(spark, letters, audit_path=log)
     assert out == letters.replace(".parquet", "-anonymized.parquet")
-    written = spark.read.parquet(out)
-    assert written.count() == 6
-    changed = written.where("redacted")
-    assert changed.count() > 0 and spark.read.parquet(log).count() > 0
-    everything = " ".join(r.text for r in changed.collect())
+    written = {r.doc_id: r.text for r in spark.read.parquet(out).collect()}
+    source = {r.doc_id: r.text for r in spark.read.parquet(letters).collect()}
+    assert written[2] == source[2] and written[1] != source[1]
+    assert written[1].count("\n") == source[1].count("\n")
+    assert spark.read.parquet(log).count() > 0
     matches = pipeline.detect_pii(spark, letters).where("confidence >= 0.7").collect()
-    assert matches and not any(m.match_text in everything for m in matches)
+    assert matches and not any(m.match_text in written[1] for m in matches)
     with pytest.raises(AnalysisException):
         pipeline.anonymize(spark, letters)
 
 
-def test_rejected_rows_are_kept_or_refused(spark, tmp_path):
+def test_every_row_and_column_comes_back(spark, tmp_path):
     path, bad = str(tmp_path / "t"), str(tmp_path / "bad")
-    spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string").write.parquet(path)
+    rows = [("a/1", "x\n\n y  O", "en", 1), ("a/1", None, "de", 2), (None, "a\nb", None, 3), ("b", "", "fr", 4), ("c", "\n \n", "fr", 5)]
+    spark.createDataFrame(rows, "doc_id string, text string, lang string, n int").write.parquet(path)
+    for spans in (False, True):
+        out = pipeline.anonymize(spark, path, str(tmp_path / f"out{spans}"), spans=spans, rejects_path=bad + str(spans))
+        assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == sorted(rows, key=str)
+    found = sorted((r.n, r.reason) for r in spark.read.parquet(bad + "True").collect())
+    assert found == [(2, "missing_text"), (3, "missing_key")]
+
+
+def test_rejected_blocks_are_kept_or_refused(spark, tmp_path):
+    path, bad = str(tmp_path / "t"), str(tmp_path / "bad")
+    rows = [(1, 0, 0, 0.0, 0.0, 9.0, 9.0, "a"), (1, 0, 1, 0.0, 20.0, 9.0, 29.0, None)]
+    spark.createDataFrame(rows, "doc_id long, page_no long, block_no long, x0 double, y0 double, x1 double, y1 double, text string").write.parquet(path)
     with pytest.raises(ValueError):
-        pipeline.anonymize(spark, path)
-    out = pipeline.anonymize(spark, path, spans=True, rejects_path=bad)
-    assert spark.read.parquet(out).count() == 2
-    assert [(r.doc_id, r.reason) for r in spark.read.parquet(bad).collect()] == [(2, "missing_text")]
+        pipeline.anonymize(spark, path, text_table=False)
+    out = pipeline.anonymize(spark, path, spans=True, rejects_path=bad, text_table=False)
+    assert spark.read.parquet(out).count() == 1
+    assert [(r.block_no, r.reason) for r in spark.read.parquet(bad).collect()] == [(1, "missing_text")]
 
 
 def test_block_table_gives_the_same_as_text(spark, letters, tmp_path):
@@ -66,13 +81,34 @@ def test_block_table_gives_the_same_as_text(spark, letters, tmp_path):
 
 
 def test_stream_gives_the_same_as_batch(spark, letters, tmp_path):
+    spark.createDataFrame([(3, None), (4, "\n\n"), (None, "x")], "doc_id long, text string").write.mode("append").parquet(letters)
     stream = spark.readStream.schema("doc_id long, text string").parquet(letters)
     out = str(tmp_path / "out")
     query = write_stream(redact_stream(stream), out, str(tmp_path / "cp"))
     query.awaitTermination(120)
-    batch = redact_blocks(pipeline.text_context(spark.read.parquet(letters)))
+    batch = redact_in_place(spark.read.parquet(letters))
     streamed = spark.read.parquet(out)
-    assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
+    assert streamed.count() == batch.count() == 5 and streamed.exceptAll(batch).count() == 0
+
+
+def test_stream_with_rejects_survives_a_restart(spark, letters, tmp_path, monkeypatch):
+    spark.createDataFrame([(3, None), (None, "x")], "doc_id long, text string").write.mode("append").parquet(letters)
+    out, bad, cp = (str(tmp_path / n) for n in ("out", "bad", "cp"))
+    run = lambda: write_apart(spark.readStream.schema("doc_id long, text string").parquet(letters), out, bad, cp)
+    working = redaction.redact_in_place
+    monkeypatch.setattr(redaction, "redact_in_place", lambda *a, **k: working(*a, **k).withColumn("text", F.raise_error(F.lit("lost"))))
+    with pytest.raises(StreamingQueryException):
+        run().awaitTermination(120)  # rejects are written, then the batch fails
+    assert spark.read.parquet(bad).count() == 2
+    monkeypatch.setattr(redaction, "redact_in_place", working)
+    run().awaitTermination(120)
+    spark.createDataFrame([(5, "late"), (6, None)], "doc_id long, text string").write.mode("append").parquet(letters)
+    run().awaitTermination(120)
+    assert sorted((r.doc_id is None, r.doc_id, r.reason) for r in spark.read.parquet(bad).collect() if r.doc_id) == [(False, 3, "missing_text"), (False, 6, "missing_text")]
+    assert spark.read.parquet(bad).count() == 3
+    usable = working(spark.read.parquet(letters).where("doc_id is not null and text is not null"))
+    assert spark.read.parquet(out).drop("batch").exceptAll(usable).count() == 0 == usable.exceptAll(spark.read.parquet(out).drop("batch")).count()
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_ocr_words(spark):
@@ -93,6 +129,12 @@ def test_text_is_redacted_without_shuffle_or_python(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
 
 
+def test_documents_are_redacted_in_one_pass(spark):
+    for spans in (False, True):
+        p = plan(redact_in_place(spark.read.parquet(f"{SF}/documents.parquet"), spans=spans))
+        assert not any(word in p for word in ("Exchange", "Python", "Join", "Generate", "Sort", "Aggregate"))
+
+
 def test_counts_shuffle_counters_only(spark):
     p = plan(entry.queries()["top_pii_docs"](spark, SF))
     texts = [l for l in p.splitlines() if "Exchange" in l and "text" in l and "doc_id" in l]
