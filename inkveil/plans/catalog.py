@@ -10,10 +10,10 @@ from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
 from inkveil.functions.text import clean_text, luhn_valid, preview
-from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports
+from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports, rewrite
 from inkveil.plans.pipeline import text_context
 from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
-from inkveil.sources import blocks as B, forms
+from inkveil.sources import blocks as B, forms, keys
 from inkveil.sources.store import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +402,41 @@ def replacement_format(spark, sf):
     )
 
 
+@query
+def pseudonymized_text(spark, sf):
+    """Equal values get equal tokens in all documents."""
+    return rewrite.replace_numbered(_documents(spark, sf), min_confidence=0.6)
+
+
+@query
+def numbered_text(spark, sf):
+    """Every match has a number of its own, counted within its document."""
+    return rewrite.replace_numbered(_documents(spark, sf), min_confidence=0.6, scope="document", consistent=False)
+
+
+def _by_path(spark, sf) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return _documents(spark, sf).select(path.alias("path"), "text")
+
+
+@query
+def pseudonyms_by_path(spark, sf):
+    """Documents known by a path: detection and numbering in the order of the paths."""
+    documents = _by_path(spark, sf)
+    known = keys.dictionary(documents, "path")
+    matches = stage(D.detect(text_context(keys.numbered(documents, "path", known))))
+    numbered = numbering.consistent_pseudonyms(matches, "corpus")
+    shown = numbered.select("doc_id", "page_no", "block_no", "category", "pattern_idx", "start", "value", "index")
+    return keys.restored(shown, "path", known)
+
+
+@query
+def counts_by_path(spark, sf):
+    documents = _by_path(spark, sf)
+    known = keys.dictionary(documents, "path")
+    return keys.restored(reports.document_counts(text_context(keys.numbered(documents, "path", known))), "path", known)
+
+
 # --- reports -------------------------------------------------------------------------------
 
 

@@ -6,9 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.operators import detect as detection, in_place, layout, redact, reports
+from inkveil.functions.replacement import ReplacementRule
+from inkveil.operators import detect as detection, in_place, layout, redact, reports, rewrite
 from inkveil.rules import DEFAULT_RULES, RuleSet
-from inkveil.sources import blocks as block_source, store
+from inkveil.sources import blocks as block_source, keys, store
 
 
 def text_context(df: DataFrame, **columns) -> DataFrame:
@@ -34,10 +35,22 @@ def get_supported_categories(rules: RuleSet = DEFAULT_RULES) -> list[str]:
 
 
 def detect_pii(
-    spark: SparkSession, path: str, rules: RuleSet = DEFAULT_RULES, text_table: bool = True
+    spark: SparkSession,
+    path: str,
+    rules: RuleSet = DEFAULT_RULES,
+    text_table: bool = True,
+    key: str = "doc_id",
+    min_confidence: float = 0.0,
 ) -> DataFrame:
-    """All matches in a stored table."""
-    return detection.detect(read_context(spark, path, text_table)[0], rules)
+    """All matches in a stored table. Documents may be known by a ``key`` of any type (text tables)."""
+    found = lambda context: detection.detect(context, rules, min_confidence)
+    if not text_table:
+        return found(read_context(spark, path, False)[0])
+    table, _ = block_source.split_text_rejects(block_source.read_table(spark, path), key)
+    if keys.is_whole(table, key):
+        return found(text_context(table, doc_id=key))
+    known = keys.dictionary(table, key)
+    return keys.restored(found(text_context(keys.numbered(table, key, known))), key, known)
 
 
 def count_pii(
@@ -58,6 +71,10 @@ def anonymize(
     audit_path: str | None = None,
     rejects_path: str | None = None,
     text_table: bool = True,
+    numbers: str | None = None,
+    scope: str = "corpus",
+    key: str = "doc_id",
+    replacements: Mapping[str, ReplacementRule] | None = None,
 ) -> str:
     """Write a redacted copy beside the input and return its path.
 
@@ -65,11 +82,22 @@ def anonymize(
     stays null. ``spans`` redacts the matched text instead of the whole line. With ``audit_path`` the
     log of what was changed is written too. ``rejects_path`` takes the rows that could not be searched, with the reason; for a
     block table, whose output leaves such rows out, it has to be given where there are any.
+
+    ``numbers`` asks for numbered replacements of the matches in a text table, under the rules of ``replacements``: a number
+    for each ``match``, or one for each distinct ``value``; counted through the whole table in the order of ``key``, or within each row
+    (``scope``).
     """
+    if numbers not in (None, "match", "value") or (numbers and not text_table):
+        raise ValueError("numbers are for text tables: 'match' or 'value'")
     if text_table:
         table = block_source.read_table(spark, path)
-        usable, rejects = block_source.split_text_rejects(table)
-        redacted = in_place.redact_in_place(table, rules, min_confidence, selected_categories, spans=spans)
+        usable, rejects = block_source.split_text_rejects(table, key)
+        if numbers:
+            redacted = rewrite.replace_numbered(
+                table, rules, min_confidence, selected_categories, key, replacements=replacements, scope=scope, consistent=numbers == "value"
+            )
+        else:
+            redacted = in_place.redact_in_place(table, rules, min_confidence, selected_categories, spans=spans)
     else:
         usable, rejects = block_source.split_rejects(block_source.read_blocks(spark, path))
         context = layout.block_context(usable)
@@ -81,7 +109,10 @@ def anonymize(
         raise ValueError(f"{path} holds rows that cannot be used; give a rejects_path for them")
     written = store.write_redacted(redacted, path, output_path)
     if audit_path:
-        context = text_context(usable) if text_table else context
-        matches = detection.detect(context, rules.selected(selected_categories), min_confidence)
+        chosen = rules.selected(selected_categories)
+        if text_table:
+            matches = detect_pii(spark, path, chosen, key=key, min_confidence=min_confidence).withColumnRenamed(key, "doc_id")
+        else:
+            matches = detection.detect(context, chosen, min_confidence)
         redact.audit_log(matches).write.mode("errorifexists").parquet(audit_path)
     return written

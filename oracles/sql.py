@@ -317,6 +317,43 @@ firsts AS (
 numbers AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY first) AS "index" FROM firsts)"""
 
 
+def numbered_documents(numbers: str) -> str:
+    """Documents with kept spans replaced; ``numbers`` gives CTE ``numbered`` from CTE ``spans``."""
+    return f"""
+SELECT d.doc_id, string_agg(coalesce(r.new_text, d.line), chr(10) ORDER BY d.i) AS text, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars
+FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) d
+LEFT JOIN (
+  {DOC_CTX}, {matches(DEFAULT_RULES, 0.6)}, {KEPT}, {PLACES},
+  spans AS (
+    SELECT k.doc_id, k.page_no, k.block_no, s.category AS category, s.pattern_idx AS pattern_idx, s.start AS "start", s.match_text AS match_text,
+      ps[s.start + 1] AS a, ps[s.end] + 1 AS z
+    FROM kept k JOIN places p ON p.doc_id = k.doc_id AND p.page_no = k.page_no AND p.block_no = k.block_no),
+  {numbers},
+  gaps AS (SELECT *, {NUMBERED_TOKEN} AS token, lag(z, 1, 0) OVER (PARTITION BY {KEYS} ORDER BY a) AS gap FROM numbered)
+  SELECT g.doc_id, g.block_no,
+    string_agg(substring(c.raw_text, gap + 1, a - gap) || token, '' ORDER BY a) || substring(any_value(c.raw_text), max(z) + 1) AS new_text
+  FROM gaps g JOIN ctx c ON g.doc_id = c.doc_id AND g.page_no = c.page_no AND g.block_no = c.block_no
+  GROUP BY g.doc_id, g.page_no, g.block_no) r ON r.doc_id = d.doc_id AND r.block_no = d.i
+GROUP BY d.doc_id"""
+
+
+NUMBERED_TOKEN = """CASE category
+  WHEN 'Email Addresses' THEN '[EMAIL-' || "index" || ']' || CASE WHEN contains(match_text, '@') THEN '@' || split_part(match_text, '@', 2) ELSE '' END
+  WHEN 'Phone Numbers' THEN '[PHONE-' || "index" || ']'
+  ELSE '[' || category || '-' || "index" || ']' END"""
+
+CONSISTENT = """
+  valued AS (SELECT *, lower(trim(match_text)) AS value FROM spans),
+  firsts AS (SELECT category, value, min(row(doc_id, page_no, block_no, pattern_idx, "start")) AS first FROM valued GROUP BY ALL),
+  numbers AS (SELECT category, value, row_number() OVER (PARTITION BY category ORDER BY first) AS "index" FROM firsts),
+  numbered AS (SELECT v.*, "index" FROM valued v JOIN numbers n ON n.category = v.category AND n.value = v.value)"""
+
+COUNTED = """
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY page_no, block_no, pattern_idx, "start") AS "index" FROM spans)"""
+
+PATHS = "SELECT doc_id, source || '/' || lang || '/' || doc_id AS path FROM documents"
+
+
 def _gold() -> str:
     rows = ", ".join(f"({q(c)}, {b})" for c, b in forms.GOLD_BLOCKS)
     return f"""
@@ -435,6 +472,14 @@ SQL: dict[str, str] = {
             ELSE {SHOWN.format(names="''")} END AS by_default_rules,
           {SHOWN.format(names="'[NAME]'")} AS by_own_rules,
           {SHOWN.format(names="'Names-' || " + '"index"')} AS with_category FROM numbered""",
+    "pseudonymized_text": numbered_documents(CONSISTENT),
+    "numbered_text": numbered_documents(COUNTED),
+    "pseudonyms_by_path": f"""{DOC_MATCHES},
+        valued AS (SELECT m.*, path, lower(trim(match_text)) AS value FROM matches m JOIN ({PATHS}) p ON p.doc_id = m.doc_id),
+        firsts AS (SELECT category, value, min(row(encode(path), page_no, block_no, pattern_idx, "start")) AS first FROM valued GROUP BY ALL),
+        numbers AS (SELECT category, value, row_number() OVER (PARTITION BY category ORDER BY first) AS "index" FROM firsts)
+        SELECT path, page_no, block_no, v.category, pattern_idx, "start", v.value, "index" FROM valued v JOIN numbers n ON n.category = v.category AND n.value = v.value""",
+    "counts_by_path": f"""{DOC_MATCHES} SELECT path, category, count(*) AS n_matches FROM matches m JOIN ({PATHS}) p ON p.doc_id = m.doc_id GROUP BY ALL""",
     "pii_counts": f"{DOC_MATCHES} SELECT category, count(*) AS n_matches FROM matches GROUP BY ALL",
     "categories": f"{FORM_MATCHES}, {usage(DEFAULT_RULES)} SELECT category_ord, category, n_matches FROM usage",
     "rules_override": f"""{DOC_CTX}, {matches(DEFAULT_RULES.override(catalog.OVERRIDES))}, {usage(DEFAULT_RULES.override(catalog.OVERRIDES))}
