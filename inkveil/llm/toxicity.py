@@ -45,16 +45,30 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Rows:
-    """A sample as one list of cells and the row of each."""
+    """A sample as one list of cells and the row of each.
+
+    Cells that too few rows hold to get a weight are left out, and the others numbered anew: ``known`` has the cell of
+    each number. So no array of a fit is larger than the sample.
+    """
 
     def __init__(self, cells: list[np.ndarray]):
         self.n = len(cells)
-        self.cell = np.concatenate([*cells, np.zeros(0, np.int64)]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in cells])
+        every = np.concatenate([*cells, np.zeros(0, np.int32)])
+        self.known = np.flatnonzero(np.bincount(every, minlength=1) >= LEAST_DOCS)
+        at = np.searchsorted(self.known, every).astype(np.int32)
+        kept = self.known[np.minimum(at, len(self.known) - 1)] == every if len(self.known) else np.zeros(len(every), bool)
+        self.cell = at[kept]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c in cells])[kept]
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.cell], self.n)
 
+    def by_cell(self, weights: np.ndarray) -> np.ndarray:
+        """Weights by the cell itself."""
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.known] = weights
+        return out
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -80,20 +94,21 @@ def without_copies(cells: list[np.ndarray]) -> list[int]:
 def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 300, l2: float = 1e-5):
     """Weights of the cells, of the earlier probabilities, and the intercept, from the rows in ``use``."""
     share = y[use].mean() if use.any() else 0.0
-    weights, chain = np.zeros(1 << BITS), np.zeros(extra.shape[1])
+    size = len(rows.known)
+    weights, chain = np.zeros(size), np.zeros(extra.shape[1])
     if share in (0.0, 1.0):
         return weights, chain, 20.0 * share - 10.0
     kept = use[rows.row]
     cell, row = rows.cell[kept], rows.row[kept]
     n1, n0 = (y[use] == 1).sum(), (y[use] == 0).sum()
-    c1 = np.bincount(cell, y[row] == 1, 1 << BITS)
-    c0 = np.bincount(cell, y[row] == 0, 1 << BITS)
+    c1 = np.bincount(cell[y[row] == 1], minlength=size)
+    c0 = np.bincount(cell[y[row] == 0], minlength=size)
     p = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     frequent = (c1 + c0 >= LEAST_DOCS) & (np.maximum(c1 / n1, c0 / n0) >= LEAST_SHARE)
     apart = np.abs(np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))) >= np.log(LEAST_RATIO)
     chosen = np.flatnonzero((z >= LEAST_Z) & frequent & apart)
-    at = np.full(1 << BITS, -1)
+    at = np.full(size, -1)
     at[chosen] = np.arange(len(chosen))
     here = at[cell] >= 0
     col, row = at[cell[here]], row[here]
@@ -115,7 +130,8 @@ def fit_chain(rows: Rows, labels: np.ndarray, fold: np.ndarray, folds: int):
     """One model for each category, in order."""
     extra, models = np.zeros((rows.n, 0)), []
     for y in labels.T:
-        models.append(fit(rows, extra, y, np.ones(rows.n, bool)))
+        weights, chain, b = fit(rows, extra, y, np.ones(rows.n, bool))
+        models.append((rows.by_cell(weights), chain, b))
         held = np.zeros(rows.n)
         for k in range(folds):
             weights, chain, b = fit(rows, extra, y, fold != k)
@@ -133,21 +149,24 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most_rows:
 
     def run(batches):
         for batch in batches:
-            cells = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"own": batch.column("own"), **{c: batch.column(c) for c in names}, "cells": pa.array(cells, pa.list_(pa.int32()))})
+            cells = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"own": batch.column("own"), **{c: batch.column(c) for c in names}, "cells": pa.array(cells, pa.binary())})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("own")).select(sample["own"].cast("long"), *names, "text")
-    schema = "own long, " + ", ".join(f"{c} double" for c in names) + ", cells array<int>"
-    got = sorted(texts.mapInArrow(run, schema).collect(), key=lambda r: r[0])  # at most most_rows rows
-    got = [got[i] for i in without_copies([np.array(r[-1], np.int64) for r in got])]
-    y = np.array([r[1:-1] for r in got], float).reshape(len(got), len(categories))
-    fold = np.array([crc32(str(r[0]).encode()) % folds for r in got], int)
-    return fit_chain(Rows([np.array(r[-1], np.int64) for r in got]), y, fold, folds)
+    schema = "own long, " + ", ".join(f"{c} double" for c in names) + ", cells binary"
+    # a doc_id may stand in many rows: equal ones count once, and the bound holds for what is left
+    rows = texts.mapInArrow(run, schema).distinct().orderBy(F.xxhash64("own"), "own", *names, "cells").limit(most_rows)
+    got = rows.toArrow().sort_by([("own", "ascending"), *((c, "ascending") for c in names)])
+    cells = [np.frombuffer(c.as_buffer(), "<i4") for c in got["cells"]]
+    kept = without_copies(cells)
+    y = np.column_stack([got[c].to_numpy()[kept] for c in names])
+    fold = np.array([crc32(str(d).encode()) % folds for d in got["own"].to_numpy()[kept]], int)
+    return fit_chain(Rows([cells[i] for i in kept]), y, fold, folds)
 
 
 def probabilities(spark: SparkSession, models):
     """A function from a text column to the probability of each category."""
-    shared = spark.sparkContext.broadcast([(w.astype(np.float32), c, b) for w, c, b in models])
+    shared = spark.sparkContext.broadcast(models)
 
     @F.arrow_udf("array<double>")
     def chain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

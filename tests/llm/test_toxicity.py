@@ -35,7 +35,7 @@ def test_chain_hands_probabilities_on():
 
     r = np.random.default_rng(0)
     y = (r.random(600) < 0.4).astype(float)
-    cells = toxicity.Rows([np.array([7 if v else 8]) for v in y])
+    cells = toxicity.Rows([np.array([7 if v else 8], np.int32) for v in y])
     models = toxicity.fit_chain(cells, np.column_stack([y, y]), np.arange(600) % 4, 4)
     assert len(models[0][1]) == 0 and len(models[1][1]) == 1 and models[1][1][0] > 0.5
 
@@ -61,3 +61,17 @@ def test_copies_in_the_sample_count_once():
     assert kept == [*range(40), 80, 81]  # rows without words are not copies
     again = toxicity.without_copies(texts + near)
     assert again[:40] == list(range(40)) and len(again) <= 42
+
+
+def test_the_bound_holds_for_repeated_ids(spark, monkeypatch):
+    """A doc_id in many rows, equal and different ones; a very long text."""
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, *a: seen.append(rows.n) or fit(rows, *a))
+    rows = [(1, f"{i} scum " + "word " * (i % 7)) for i in range(300)] + [(1, "same scum")] * 200 + [(i, f"good {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame([*rows, (40, "x y " * 500_000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(1, 41)], "doc_id long, quality int, toxic int")
+    known = labels.selectExpr("doc_id", "1 - quality as low_quality", "toxic")
+    toxicity.train(docs, known, toxicity.CHAIN, most_rows=10)
+    assert seen == [10] or 0 < seen[0] <= 10
+    assert toxicity.toxic_documents(docs, labels).count() == docs.count()
