@@ -38,7 +38,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32
 #: Bytes of a text that are split at once, and terms a task holds before it hands them on.
 PIECE, MOST_HELD = 1 << 20, 400_000
 #: Sources in a tile, terms in a dense block, terms of a bucket (about), rows compared at once in a sweep.
-TILE, BLOCK, BUCKET, SWEEP = 64, 512, 20_000, 1024
+TILE, BLOCK, BUCKET, SWEEP = 64, 512, 1024, 1024
 
 COUNTS = "lang string, source string, term string, n long, docs long"
 RESULT = ("lang", "source", "part", "item", "value", "rank")
