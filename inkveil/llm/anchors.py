@@ -48,8 +48,14 @@ def anchor_of(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def mark(docs: DataFrame, measure, within: bool) -> DataFrame:
-    """(row, doc_id, tag, n, hash[], at[], again[]) of every document with an id, staged.
+def arrays(parts, kind: pa.DataType) -> pa.ListArray:
+    """One list for each of some numpy arrays."""
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind, safe=False))
+
+
+def mark(docs: DataFrame, measure, within: bool, digest=None) -> DataFrame:
+    """(row, doc_id, tag, n, hash[], at[], again[]) of every document with an id, staged; with ``digest`` (of the content).
 
     ``measure(text)`` gives the content that makes texts equal, its length, and the hashes and the anchor of
     each window. ``again``: the hashes that repeat within the document, if ``within`` asks for them.
@@ -64,16 +70,17 @@ def mark(docs: DataFrame, measure, within: bool) -> DataFrame:
                     at = anchor[np.r_[True, anchor[1:] != anchor[:-1]]] if len(anchor) else anchor
                     own = hashes[at].view(np.int64)
                     value, times = np.unique(own, return_counts=True) if within else (own, np.zeros(len(own)))
-                    rows.append((tag_of(content), n, own, at, value[times > 1]))
-                tag, n, hashes, at, again = zip(*rows)
+                    rows.append((tag_of(content), n, own, at, value[times > 1], digest(content).digest() if digest else None))
+                tag, n, hashes, at, again, digests = zip(*rows)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(first, len(texts)),
                     "tag": pa.array(tag, pa.int64()), "n": pa.array(n, pa.int64()),
-                    "hash": pa.array(hashes, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32())), "again": pa.array(again, pa.list_(pa.int64())),
+                    "hash": arrays(hashes, pa.int64()), "at": arrays(at, pa.int32()), "again": arrays(again, pa.int64()),
+                    "digest": pa.array(digests, pa.binary()),
                 })
 
     known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    marked = known.mapInArrow(run, "doc_id long, tag long, n long, hash array<long>, at array<int>, again array<long>")
+    marked = known.mapInArrow(run, "doc_id long, tag long, n long, hash array<long>, at array<int>, again array<long>, digest binary")
     return stage(marked.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.anchors import anchor_of, candidates, mark, tag_of
+from inkveil.llm.anchors import anchor_of, arrays, candidates, mark, tag_of
 from inkveil.llm.common import discard, slices, stage
 
 #: Words of an anchor.
@@ -35,14 +35,8 @@ ANCHOR = 6
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Hash of each word, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -58,11 +52,10 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 def measure(window: int):
     """Content, length, hashes and anchors of a text, for ``anchors.mark``."""
-    known = Hashes()
 
     def run(text: bytes):
         words = text.split()
-        hashes = grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), ANCHOR)
+        hashes = grams(word_hashes(words), ANCHOR)
         return b" ".join(words), len(words), hashes, anchor_of(hashes, window - ANCHOR + 1)
 
     return run
@@ -77,7 +70,7 @@ def window_runs(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """(doc_id, tag, first, nodes[]): runs of consecutive windows with a repeated anchor, as nodes."""
 
     def run(batches):
-        known, width = Hashes(), window - ANCHOR + 1
+        width = window - ANCHOR + 1
         for batch in batches:
             for first, texts in slices(batch.column("text")):
                 part = batch.slice(first, len(texts))
@@ -86,15 +79,21 @@ def window_runs(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
                     words = text.split()
                     if tag_of(b" ".join(words)) != tag:
                         continue  # another text with this doc_id
-                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    kept = np.flatnonzero(np.isin(anchor_of(grams(hashes, ANCHOR), width), at))
-                    nodes = grams(hashes, window - 1).view(np.int64)
+                    hashes = word_hashes(words)
+                    anchor = anchor_of(grams(hashes, ANCHOR), width)
+                    # neighbouring windows mostly share their anchor: each is looked up once
+                    change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+                    held = np.repeat(np.isin(anchor[change], at), np.diff(np.r_[change, len(anchor)]))
+                    kept = np.flatnonzero(held)
+                    if not len(kept):
+                        continue
+                    base = kept[0]
+                    nodes = grams(hashes[base : kept[-1] + window], window - 1).view(np.int64)
                     for own in np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1):
-                        if len(own):
-                            rows.append((doc, tag, int(own[0]), nodes[own[0] : own[-1] + 2]))
+                        rows.append((doc, tag, int(own[0]), nodes[own[0] - base : own[-1] + 2 - base]))
                 for a in range(0, len(rows), 4096):
                     doc, tag, start, nodes = zip(*rows[a : a + 4096])
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int64()), "first": pa.array(start, pa.int32()), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int64()), "first": pa.array(start, pa.int32()), "nodes": arrays(nodes, pa.int64())})
 
     return with_text(docs, found).mapInArrow(run, "doc_id long, tag long, first int, nodes array<long>")
 
@@ -166,12 +165,12 @@ def source_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def removed_words(docs: DataFrame, window: int) -> DataFrame:
+def removed_words(docs: DataFrame, window: int, marked: DataFrame | None = None) -> DataFrame:
     """(doc_id, parts): by document the tag of the text, start, words and source digest of each span.
 
-    A copy of a whole text has one part without a digest.
+    A copy of a whole text has one part without a digest. ``marked`` is discarded.
     """
-    copies, found = candidates(mark(docs, measure(window), within=False))
+    copies, found = candidates(marked or mark(docs, measure(window), within=False))
     runs = stage(window_runs(docs, found, window))
     paths = compact(edges_of(runs))
     spans = stage(spans_of(edges_of(runs), paths, window))
@@ -226,9 +225,8 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     return joined.mapInArrow(run, f"{fields}, text string, n_words long, n_removed long")
 
 
-def repeat_digest(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    joined = with_text(docs, removed_words(docs, window), "left")
+def digests(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of documents with a column ``parts`` (null: nothing is removed)."""
 
     def run(batches):
         for batch in batches:
@@ -243,4 +241,18 @@ def repeat_digest(docs: DataFrame, window: int = 13) -> DataFrame:
                 n, removed, digest = zip(*rows)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def repeat_digest(docs: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document.
+
+    Number of words and digest of a whole text are taken when it is first read, so only documents that lose words are
+    read again.
+    """
+    marked = mark(docs, measure(window), within=False, digest=hashlib.sha256)
+    whole = stage(marked.select("doc_id", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256")))
+    parts = removed_words(docs, window, marked)
+    null = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text", F.lit(None).cast(parts.schema["parts"].dataType).alias("parts"))
+    lost = with_text(docs, parts)
+    return whole.join(parts, "doc_id", "left_anti").union(digests(lost, window)).union(digests(null, window))
