@@ -17,8 +17,8 @@ so many, each against all documents. Windows run over the text's ends, where the
 
 Defined results: words are lower-cased (A-Z), separated by ASCII characters other than letters and
 digits; null, empty and wordless texts and items match nothing; an item of fewer than five words is
-one shingle; repeated documents are judged each by itself, repeated items give one row each by id;
-an empty table on either side gives an empty result. Extra columns are ignored.
+one shingle; repeated documents are judged each by itself; repeated items, and items that share an id or have none, are
+items of their own, each giving a row; an empty table on either side gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import slices
+from inkveil.llm.common import discard, row_ids, slices
 
 SHINGLE = 5
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
@@ -160,17 +160,17 @@ class Items:
 
 
 def benchmark_blocks(benchmark: DataFrame, items_at_once: int):
-    """The items in order of id, so many at a time."""
-    after = None
+    """The items, so many at a time, by a number of their own: ids may repeat or be missing."""
+    items = row_ids(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "number")
+    after = -1
     while True:
-        rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
-        rows = rows if after is None else rows.where(F.col("item_id") > after)
-        block = rows.orderBy("item_id", "text").limit(items_at_once).collect()
-        if block:
-            yield [tuple(r) for r in block]
-        if len(block) < items_at_once:
+        rows = items.where(F.col("number") > after).orderBy("number").limit(items_at_once).collect()
+        if rows:
+            yield [(r.item_id, r.text) for r in rows]
+            after = rows[-1].number
+        if len(rows) < items_at_once:
+            discard(items)
             return
-        after = block[-1][0]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, items_at_once: int = 20_000) -> DataFrame:

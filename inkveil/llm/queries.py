@@ -35,7 +35,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(spark, sharding.shard_documents(table(spark, sf_dir, "documents")))
+    return sharding.shard_digest(spark, sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,21 @@ def test_empty_tables_and_repeated_rows(spark):
     assert d.leaks(docs.limit(0), bench).count() == 0
     assert d.leaks(docs, bench.limit(0)).count() == 0
     assert d.without_leaks(docs, bench.limit(0)).count() == 3
+
+
+def test_repeated_and_missing_item_ids_over_block_edges(spark):
+    texts = [f"item {i} alpha{i} beta{i} gamma{i} delta{i} epsilon{i}" for i in range(7)]
+    ids = [1, 1, 1, 1, None, None, 2]
+    bench = spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(i, f"x{i} {t} y") for i, t in enumerate(texts)] + [(99, "nothing here of any of it")], "doc_id long, text string")
+    for at_once in (1, 2, 3, 7, 100):
+        got = sorted((x.doc_id, x.item_id or 0) for x in d.leaks(docs, bench, items_at_once=at_once).collect())
+        assert got == [(i, own or 0) for i, own in enumerate(ids)]
+        assert [x.doc_id for x in d.without_leaks(docs, bench, items_at_once=at_once).collect()] == [99]
+
+
+def test_very_long_text(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "word " * 300_000 + item), (2, "word " * 300_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(x.doc_id, x.first_word) for x in d.leaks(docs, bench).collect()] == [(1, 300_000)]
