@@ -167,18 +167,43 @@ def _apart(spans: Column) -> Column:
 
 
 def _longest_first(group: Column) -> Column:
-    """The spans of a group that are kept, in order."""
-    none = F.array().cast(f"array<{_RANKED}>")
+    """The spans of a group that are kept, in order.
+
+    The group's stretch of text is a row of bytes. The spans are laid on it by rank, each only where nothing lies yet: a 2
+    for its first place, a 1 for the others. What lies there in the end tells which were kept. So a span costs its
+    own length and a copy of the row, however many were kept before.
+    """
+    none = F.array().cast(f"array<{_SPAN}>")
     ranked = F.array_sort(F.transform(group, lambda s: _struct(s, _RANKED, rank=s["start"] - s["end"])))
-    chosen = F.aggregate(
-        ranked,
-        none,
-        lambda kept, s: F.when(
-            F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
-        ).otherwise(F.concat(kept, F.array(s))),
-        lambda kept: F.array_sort(F.transform(kept, lambda s: _struct(s, _SPAN))),
-    )
-    return F.when(F.size(group) == 1, group).otherwise(chosen)
+
+    def bytes_of(digits: str, n: Column, first: str = "") -> Column:
+        return F.unhex(F.concat(F.lit(first), F.repeat(F.lit(digits), n)))
+
+    def part(row: Column, s: Column, base: Column) -> Column:
+        return F.substring(row, s["start"] - base + 1, s["end"] - s["start"])
+
+    def laid(s: Column) -> Column:
+        return bytes_of("01", s["end"] - s["start"] - 1, "02")
+
+    def chosen(frame: Column) -> Column:
+        base = frame["base"]
+        row = F.aggregate(
+            ranked,
+            bytes_of("00", frame["end"] - base),
+            lambda row, s: F.when(
+                part(row, s, base) == bytes_of("00", s["end"] - s["start"]), F.overlay(row, laid(s), s["start"] - base + 1)
+            ).otherwise(row),
+        )
+        return let(row, lambda r: F.filter(group, lambda s, i: lies(r, s, i, base)))
+
+    def lies(row: Column, s: Column, i: Column, base: Column) -> Column:
+        before = F.get(group, i - 1)
+        again = (i > 0) & (before["start"] == s["start"]) & (before["end"] == s["end"])  # the first of equal ones ranks highest
+        ends = F.substring(row, s["end"] - base + 1, F.lit(1)) != F.unhex(F.lit("01"))
+        return ~F.coalesce(again, F.lit(False)) & (part(row, s, base) == laid(s)) & ends
+
+    frame = F.struct(F.get(group, 0)["start"].alias("base"), F.array_max(F.transform(group, lambda s: s["end"])).alias("end"))
+    return F.when(F.size(group) == 0, none).when(F.size(group) == 1, group).otherwise(let(frame, chosen))
 
 
 def _struct(span: Column, shape: str, **own: Column) -> Column:

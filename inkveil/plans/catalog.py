@@ -10,7 +10,7 @@ from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
 from inkveil.functions.text import clean_text, luhn_valid, preview
-from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports, rewrite
+from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports, rewrite, wide_pages
 from inkveil.plans.pipeline import text_context
 from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
 from inkveil.sources import blocks as B, forms, keys
@@ -187,6 +187,20 @@ def wide_page_context(spark, sf):
     return layout.block_context(blocks, max_page_blocks=0)
 
 
+@query
+def merge_long_runs(spark, sf):
+    """All customers as one run of fragments on slightly uneven lines: none can be cut off beforehand."""
+    customer = B.read_table(spark, f"{sf}/customer.parquet", SPREAD)
+    key = F.col("c_custkey")
+    y0 = (F.pmod(key * 7, F.lit(23)) * 4 / 10).cast("double")
+    blocks = customer.select(
+        F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("page_no"), key.alias("block_no"),
+        (key * 10).cast("double").alias("x0"), y0.alias("y0"), (key * 10 + 8).cast("double").alias("x1"), (y0 + 8).alias("y1"),
+        F.col("c_name").alias("text"),
+    )
+    return wide_pages.merge_blocks(wide_pages.in_reading_order(blocks)).drop("seq")
+
+
 # --- detection -----------------------------------------------------------------------------
 
 

@@ -368,6 +368,11 @@ raw AS (
     x0 + 20 + c_custkey % 11 * 30 AS x1, y0 + 8 + (c_custkey % 5) * (c_custkey % 5) * 11 AS y1, c_name AS text
   FROM (SELECT *, (c_custkey * 37 % 40 * 9)::DOUBLE AS x0, (c_custkey // 50 * 3 % 120 * 4)::DOUBLE AS y0 FROM customer))"""
 
+RUN_RAW = """
+raw AS (
+  SELECT 0 AS doc_id, 0 AS page_no, c_custkey AS block_no, (c_custkey * 10)::DOUBLE AS x0, y0, (c_custkey * 10 + 8)::DOUBLE AS x1,
+    y0 + 8 AS y1, c_name AS text FROM (SELECT *, (c_custkey * 7 % 23 * 4)::DOUBLE / 10 AS y0 FROM customer))"""
+
 CTX_COLUMNS = f"{KEYS}, x0, y0, x1, y1, raw_text, text, preceding_text, following_text, is_table_cell"
 
 luhn = lambda t: (
@@ -420,6 +425,7 @@ SQL: dict[str, str] = {
     "neighbor_text": f"{DOC_CTX} SELECT {KEYS}, preceding_text, following_text FROM ctx",
     "block_context": f"{FORM_CTX} SELECT {CTX_COLUMNS} FROM ctx",
     "wide_page_context": f"WITH {WIDE_RAW}, {MERGED}, {CONTEXT} SELECT {CTX_COLUMNS} FROM ctx",
+    "merge_long_runs": f"WITH {RUN_RAW}, {MERGED} SELECT * FROM merged",
     "confidence_score": f"""{DOC_CTX}, {scored(DEFAULT_RULES)}
         SELECT {KEYS}, is_table_cell, category, confidence, confidence >= threshold AS reported FROM scored""",
     "label_hit": f"{FORM_CTX}, {scored(DEFAULT_RULES)} SELECT {KEYS}, category, label_hit FROM scored",

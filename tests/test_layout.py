@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkveil.operators import layout
+from inkveil.operators import layout, wide_pages
 from inkveil.sources import blocks as B
 import models
 
@@ -99,6 +100,68 @@ def test_wide_page_over_several_chunks(spark):
     assert wide.exceptAll(rows).count() == 0
 
 
+def same_in_both_forms(spark, pages):
+    wide = layout.block_context(table(spark, pages), 0).select("doc_id", "page_no", *COLUMNS)
+    rows = layout.page_context(layout.assemble_pages(table(spark, pages))).select("doc_id", "page_no", *COLUMNS)
+    got, want = (sorted(map(tuple, df.collect())) for df in (wide, rows))
+    assert got == want
+    return got
+
+
+def test_blocks_that_share_a_key(spark):
+    """Twins far apart have their own neighbours; blocks equal in all are blocks of their own."""
+    twins = [b(0, 0, 0, 60, 10, "aaa"), b(1, 200, 0, 260, 10, "bbb"), b(1, 500, 0, 560, 10, "ddd"), b(2, 620, 0, 640, 10, "ccc"), b(2, 620, 0, 640, 10, "ccc")]
+    got = same_in_both_forms(spark, {(0, 0): twins, **{(i + 1, 0): [(x[0] // 4, *x[1:]) for x in bs] for i, bs in enumerate(random_pages(9, 25, 40).values())}})
+    texts = {(r[4], r[5], r[6]) for r in got if r[0] == 0}
+    assert texts == {("aaa", "", "bbb"), ("bbb", "aaa", ""), ("ddd", "", "ccc ccc"), ("ccc", "ddd", "")}
+
+
+def run_of_fragments(n, seed, step):
+    """Each fragment begins near the end of the one before; the line wanders."""
+    rnd, y, bs = random.Random(seed), 0.0, []
+    for i in range(n):
+        y += rnd.choice([-step, 0, step, step / 3])
+        bs.append(b(i, 10 * i, y, 10 * i + 8, y + 8, f"f{i}"))
+    return bs
+
+
+def test_merging_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(wide_pages, "CHUNK_BITS", 2)
+    monkeypatch.setattr(wide_pages, "ROW_BITS", 5)
+    pages = {(i, 0): run_of_fragments(300, i, step) for i, step in enumerate([0.0, 0.7, 1.9, 2.5, 4.9, 5.1])}
+    pages |= {(100 + k[0], 1): bs for k, bs in random_pages(8, 20, 60).items()}
+    merged = wide_pages.merge_blocks(wide_pages.in_reading_order(table(spark, pages)))
+    got = {}
+    for r in merged.drop("seq").collect():
+        got.setdefault((r.doc_id, r.page_no), []).append(tuple(r)[2:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(models.merge(bs)) for k, bs in pages.items()}
+
+
+def test_endless_run(spark):
+    bs = run_of_fragments(60_000, 3, 1.3)
+    merged = wide_pages.merge_blocks(wide_pages.in_reading_order(table(spark, {(0, 0): bs})))
+    assert sorted(tuple(r)[2:] for r in merged.drop("seq").collect()) == sorted(models.merge(bs))
+
+
+def test_one_band_and_one_crowded_spot(spark, monkeypatch):
+    """A band of many blocks is cut along x; a spot with many boxes is dealt into parts."""
+    monkeypatch.setattr(wide_pages, "MOST_IN_CELL", 16)
+    band = [b(i, 40.0 * i, 0, 40.0 * i + 20, 10, f"w{i}") for i in range(400)]
+    spot = [b(i, 5.0 * (i % 3), 3.0 * (i % 5), 30.0 + i, 30 + i % 7, f"s{i}") for i in range(150)]
+    tall = [b(i, 300.0 * (i % 9), 50.0 * i, 300.0 * (i % 9) + 2000, 50.0 * i + 900, f"t{i}") for i in range(60)]
+    same_in_both_forms(spark, {(0, 0): band, (1, 0): spot, (2, 0): tall, (3, 0): band[:3] + spot[:30] + tall[:9]})
+
+
+def test_no_cell_of_a_long_band_is_large(spark):
+    n = 100_000
+    band = spark.range(n).selectExpr("0L doc_id", "0L page_no", "id block_no", "id * 40.0D x0", "0D y0", "id * 40.0D + 20 x1", "10D y1", "concat('w', id) text")
+    box = F.struct(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    items = band.select("doc_id", "page_no", box.alias("box"), *[wide_pages._grid(a).alias(f"grid_{a}") for a in wide_pages.CELL])
+    used = items.groupBy("doc_id", "page_no").agg(*[F.collect_set(f"grid_{a}").alias(f"grids_{a}") for a in wide_pages.CELL])
+    cells = wide_pages._on_grids(items, used, F.col("box")).groupBy("level_x", "cell_x", "level_y", "cell_y").count()
+    assert cells.agg(F.max("count")).first()[0] < 20
+
+
 def test_neighbours_at_the_edges(spark):
     page = [b(0, 200, 0, 260, 10, "mid"), b(1, 0, 0, 51, 10, "left"), b(2, 0, 0, 50, 10, "far"),
             b(3, 409, 0, 420, 10, "right"), b(4, 410, 0, 430, 10, "out"), b(5, 210, 20, 250, 30, "below")]
