@@ -105,6 +105,20 @@ def reported(category: Category, min_confidence: float = 0.0, block: Block = F.c
     return searchable(block) & F.when(block("is_table_cell"), passes(TABLE_BOOST)).otherwise(passes(0.0))
 
 
+def reported_by(category: Category, setting: Column, min_confidence: float, block: Block = F.col) -> Column:
+    """``reported`` with threshold and selection from the row: ``setting`` is a struct (threshold, enabled), or null.
+
+    Labels are looked for only where they decide.
+    """
+    needed = F.greatest(F.coalesce(setting["threshold"], F.lit(category.threshold)), F.lit(min_confidence))
+    table = F.when(block("is_table_cell"), TABLE_BOOST).otherwise(0.0)
+    enabled = F.coalesce(setting["enabled"], F.lit(True))
+    passes = F.when(F.lit(BASE_CONFIDENCE) + F.lit(0.0) + table >= needed, F.lit(True)).when(
+        F.lit(BASE_CONFIDENCE) + F.lit(LABEL_BOOST) + table >= needed, labelled(category, block)
+    )
+    return searchable(block) & enabled & F.coalesce(passes, F.lit(False))
+
+
 def score_table(blocks: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """One row per block and category: label hit, confidence, and whether hits are reported."""
     rows = F.array(

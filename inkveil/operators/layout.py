@@ -15,6 +15,7 @@ from inkveil.functions.geometry import (
 from inkveil.functions.text import clean_text
 from inkveil.operators import wide_pages
 from inkveil.sources.blocks import BLOCK_STRUCT, PAGE_KEYS
+from inkveil.sources.store import stage
 
 MAX_PAGE_BLOCKS = 4096
 
@@ -66,15 +67,17 @@ def page_context(pages: DataFrame) -> DataFrame:
 def block_context(blocks: DataFrame, max_page_blocks: int = MAX_PAGE_BLOCKS) -> DataFrame:
     """Merged blocks with context, from a block table whose pages may have any size.
 
-    Pages of up to ``max_page_blocks`` blocks become rows. Larger ones are found by a count,
-    which is combined before its shuffle and reads the key columns only.
+    Pages of up to ``max_page_blocks`` blocks become rows. Larger ones are found by a count first,
+    which is combined before its shuffle and reads the key columns only; both ways give the same rows.
     """
-    large = (
+    large = stage(
         blocks.groupBy(*PAGE_KEYS)
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > max_page_blocks)
         .select(*PAGE_KEYS)
     )
+    if large.isEmpty():
+        return page_context(assemble_pages(blocks))
     usual = assemble_pages(blocks.join(large, list(PAGE_KEYS), "left_anti"))
     wide = wide_pages.context(blocks.join(large, list(PAGE_KEYS), "left_semi"))
     return page_context(usual).unionByName(_cleaned(wide))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkveil.functions import scan
 from inkveil.functions.arrays import let
-from inkveil.operators.detect import BLOCK_KEYS, Block, by_order, reported, with_label_hint
+from inkveil.operators.detect import BLOCK_KEYS, Block, by_order, reported, reported_by, with_label_hint
 from inkveil.operators.layout import page_context
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.sources.blocks import pages_from_text
@@ -42,16 +42,18 @@ def redact_blocks(
     return _with_tokens(hinted.select(*BLOCK_KEYS, *_BOX, "raw_text", tokens.alias("tokens")))
 
 
-def block_tokens(rules: RuleSet, min_confidence: float, block: Block = F.col) -> Column:
-    """Tokens of the categories of which the block holds a match, in rule order."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(reported(c, min_confidence, block) & scan.any_occurs(block("text"), c), c.token)
-                for c in rules.categories
-            ]
-        )
-    )
+def block_tokens(rules: RuleSet, min_confidence: float, block: Block = F.col, profile: Column | None = None) -> Column:
+    """Tokens of the categories of which the block holds a match, in rule order. With a ``profile``
+    (a map from category to its settings) thresholds, selection and tokens come from the row."""
+
+    def token(c) -> Column:
+        if profile is None:
+            return F.when(reported(c, min_confidence, block) & scan.any_occurs(block("text"), c), c.token)
+        own = F.try_element_at(profile, F.lit(c.name))
+        here = reported_by(c, own, min_confidence, block) & scan.any_occurs(block("text"), c)
+        return F.when(here, F.coalesce(own["replacement"], F.lit(c.token)))
+
+    return F.array_compact(F.array(*[token(c) for c in rules.categories]))
 
 
 def redact_matched(context: DataFrame, matches: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -90,7 +92,7 @@ _SPAN = "struct<start:int,end:int,category_ord:int,pattern_idx:int,match_text:st
 _RANKED = "struct<rank:int,category_ord:int,pattern_idx:int,start:int,end:int,match_text:string>"
 
 
-def kept_spans(rules: RuleSet, min_confidence: float, block: Block = F.col) -> Column:
+def kept_spans(rules: RuleSet, min_confidence: float, block: Block = F.col, profile: Column | None = None) -> Column:
     """The non-overlapping spans of a block: longest first, ties by category, pattern, position.
 
     Equal patterns give equal spans, of which the first pattern's wins; so each is run once.
@@ -109,7 +111,11 @@ def kept_spans(rules: RuleSet, min_confidence: float, block: Block = F.col) -> C
                 for p, numbers in c.distinct_patterns()
             ]
         )
-        runs.append(F.when(reported(c, min_confidence, block), of_category))
+        if profile is None:
+            here = reported(c, min_confidence, block)
+        else:
+            here = reported_by(c, F.try_element_at(profile, F.lit(c.name)), min_confidence, block)
+        runs.append(F.when(here, of_category))
 
     checked = [p for c in rules.categories for p in c.patterns if p.valid]
 

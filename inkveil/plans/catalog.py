@@ -10,7 +10,7 @@ from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
 from inkveil.functions.text import clean_text, luhn_valid, preview
-from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, redact, reports, rewrite, wide_pages
+from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, profiles, redact, reports, rewrite, wide_pages
 from inkveil.plans.pipeline import text_context
 from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
 from inkveil.sources import blocks as B, forms, keys
@@ -355,6 +355,31 @@ def redact_spans_in_source(spark, sf):
     return in_place.redact_spans_in_source(_noisy_context(spark, sf), min_confidence=0.6)
 
 
+#: Three profiles: their categories' replacement, threshold and whether they are enabled.
+PROFILES = [
+    ("strict", "Names", "[PERSON]", 0.6, None),
+    ("strict", "Account Numbers", None, 0.6, None),
+    ("contacts", "Names", None, None, False),
+    ("contacts", "Account Numbers", None, None, False),
+    ("contacts", "Email Addresses", "[MAIL]", 0.5, True),
+    ("quiet", "Names", None, 0.9, None),
+    ("quiet", "Addresses", "[PLACE]", 0.6, None),
+    ("quiet", "Account Numbers", None, 0.95, None),
+    ("quiet", "Phone Numbers", None, 0.8, None),
+    ("quiet", "Email Addresses", None, 0.8, None),
+]
+
+
+@query
+def redact_by_profile(spark, sf):
+    """Documents of some sources under one profile each; those of other sources under the rules alone."""
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    named = F.when(number < 5, "strict").when(number < 10, "contacts").when(number < 15, "quiet")
+    documents = _documents(spark, sf).withColumn("profile", named)
+    settings = spark.createDataFrame(PROFILES, profiles.SCHEMA)
+    return profiles.redact_by_profile(documents, settings)
+
+
 @query
 def redact_blocks_at_table_score(spark, sf):
     return redact.redact_blocks(_doc_context(spark, sf), min_confidence=0.6)
@@ -490,6 +515,21 @@ def pattern_distribution(spark, sf):
     return counted.fillna("all", ["category"]).fillna(-1, ["pattern_idx"])
 
 
+@query
+def hit_quantiles(spark, sf):
+    """Totals are shown as pattern -1 and category ``all``."""
+    counted = reports.hit_quantiles(_doc_context(spark, sf))
+    return counted.fillna("all", ["category"]).fillna(-1, ["pattern_idx"])
+
+
+@query
+def match_lists(spark, sf):
+    """Whole lists of documents, in parts of 100 matches."""
+    parts = reports.match_lists(stage(D.detect(_doc_context(spark, sf))), part_size=100)
+    one = lambda m: F.concat_ws(":", m["page_no"], m["block_no"], m["pattern_idx"], m["start"], m["match_text"])
+    return parts.withColumn("matches", F.array_join(F.transform("matches", one), " / "))
+
+
 @query
 def batch_summary(spark, sf):
     return reports.batch_summary(_doc_context(spark, sf))

@@ -200,6 +200,36 @@ matches AS MATERIALIZED (
   FROM placed WHERE pos % 2 = 0)"""
 
 
+def profiled() -> str:
+    """Documents redacted under the profile of their source: all matches from 0.5, kept by the profile's thresholds."""
+    rows = ", ".join(
+        f"({q(p)}, {q(c)}, {q(t) if t else 'NULL'}, {f'{x}::DOUBLE' if x is not None else 'NULL'}, {'NULL' if on is None else on})"
+        for p, c, t, x, on in catalog.PROFILES
+    )
+    open_rules = DEFAULT_RULES.override({n: {"threshold": 0.5} for n in DEFAULT_RULES.names()})
+    thresholds = ", ".join(f"({q(c.name)}, {float(c.threshold)}::DOUBLE)" for c in DEFAULT_RULES.categories)
+    return f"""
+WITH named AS (
+  SELECT *, CASE WHEN n < 5 THEN 'strict' WHEN n < 10 THEN 'contacts' WHEN n < 15 THEN 'quiet' END AS profile
+  FROM (SELECT *, regexp_extract(source, '[0-9]+')::INT AS n FROM documents))
+SELECT d.doc_id, string_agg(coalesce(r.tokens, d.line), chr(10) ORDER BY d.i) AS text, any_value(lang) AS lang, any_value(source) AS source,
+  any_value(n_chars) AS n_chars, any_value(profile) AS profile
+FROM (SELECT * EXCLUDE (n), unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM named) d
+LEFT JOIN (
+  {DOC_CTX}, {matches(open_rules)},
+  settings(profile, category, replacement, threshold, enabled) AS (VALUES {rows}),
+  own(category, threshold) AS (VALUES {thresholds}),
+  kept AS (
+    SELECT DISTINCT m.doc_id, m.block_no, m.category_ord, coalesce(s.replacement, m.replacement) AS token
+    FROM matches m JOIN (SELECT doc_id, CASE WHEN n < 5 THEN 'strict' WHEN n < 10 THEN 'contacts' WHEN n < 15 THEN 'quiet' END AS profile
+      FROM (SELECT doc_id, regexp_extract(source, '[0-9]+')::INT AS n FROM documents)) p ON p.doc_id = m.doc_id
+    JOIN own o ON o.category = m.category LEFT JOIN settings s ON s.profile = p.profile AND s.category = m.category
+    WHERE coalesce(s.enabled, true)
+      AND m.confidence >= CASE WHEN p.profile IS NULL THEN greatest(o.threshold, 0.7::DOUBLE) ELSE coalesce(s.threshold, o.threshold) END)
+  SELECT doc_id, block_no, string_agg(token, ' ' ORDER BY category_ord) AS tokens FROM kept GROUP BY ALL) r ON r.doc_id = d.doc_id AND r.block_no = d.i
+GROUP BY d.doc_id"""
+
+
 KEYS = "doc_id, page_no, block_no"
 
 
@@ -401,6 +431,17 @@ t AS (SELECT 'all' AS category, -1 AS pattern_idx, coalesce(sum(n), 0)::BIGINT A
       FROM (SELECT doc_id, sum(n) AS n FROM by_doc GROUP BY ALL))
 SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM t"""
 
+HIT_QUANTILES = """
+units AS (
+  SELECT 'document' AS level, doc_id, 0 AS page_no, category, pattern_idx FROM matches
+  UNION ALL SELECT 'page', doc_id, page_no, category, pattern_idx FROM matches),
+cells AS (
+  SELECT level, category, pattern_idx, count(*) AS n FROM units GROUP BY level, doc_id, page_no, category, pattern_idx
+  UNION ALL SELECT level, category, -1, count(*) FROM units GROUP BY level, doc_id, page_no, category
+  UNION ALL SELECT level, 'all', -1, count(*) FROM units GROUP BY level, doc_id, page_no)
+SELECT level, category, pattern_idx, count(*) AS n_units, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.9) AS p90, quantile_disc(n, 0.99) AS p99, max(n) AS most
+FROM cells GROUP BY level, category, pattern_idx"""
+
 SLOTS = "[" + ", ".join(
     f"{{'category': {q(c.name)}, 'pattern_idx': {j}}}"
     for c in DEFAULT_RULES.categories
@@ -494,6 +535,13 @@ SQL: dict[str, str] = {
         string_agg(block_no || ':' || pattern_idx || ':' || "start" || ':' || match_text, ' / ' ORDER BY block_no, pattern_idx, "start") AS matches
         FROM matches GROUP BY doc_id, page_no, part, category""",
     "pattern_distribution": f"{DOC_MATCHES}, {DISTRIBUTION.format(slots=SLOTS)}",
+    "redact_by_profile": profiled(),
+    "hit_quantiles": f"{DOC_MATCHES}, {HIT_QUANTILES}",
+    "match_lists": f"""{DOC_MATCHES},
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY page_no, block_no, pattern_idx, "start") - 1 AS place FROM matches)
+        SELECT doc_id, category, place // 100 AS part, place // 100 * 100 AS first, count(*)::INTEGER AS n_matches,
+          string_agg(page_no || ':' || block_no || ':' || pattern_idx || ':' || "start" || ':' || match_text, ' / ' ORDER BY place) AS matches
+        FROM numbered GROUP BY doc_id, category, place // 100""",
     "batch_summary": f"""{DOC_MATCHES},
         labelled AS (SELECT DISTINCT {KEYS} FROM matches WHERE confidence >= 0.7)
         SELECT 'documents scanned' AS metric, (SELECT count(DISTINCT doc_id) FROM ctx) AS n
