@@ -109,12 +109,11 @@ def edges_of(runs: DataFrame) -> DataFrame:
 
 def compact(edges: DataFrame) -> DataFrame:
     """(a, b, source, source_at, path): edges of two documents or more, by first source and path."""
-    shared = stage(
-        edges.groupBy("a", "b")
-        .agg(F.min(F.struct("doc_id", "at")).alias("s"), F.max("doc_id").alias("last"))
-        .where("s.doc_id < last")
-        .select("a", "b", F.col("s.doc_id").alias("source"), F.col("s.at").alias("source_at"))
-    )
+    # the first place as one whole number: unlike a struct it is aggregated without a sort
+    order = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    firsts = edges.withColumn("place", order + F.col("at")).groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("place").alias("place"))
+    source_at = F.col("place") - F.col("source").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    shared = stage(firsts.where("source < last").select("a", "b", "source", source_at.cast("int").alias("source_at")))
     ends = shared.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
         shared.select("b", F.lit(0), F.lit(1))
     )
@@ -131,7 +130,7 @@ def compact(edges: DataFrame) -> DataFrame:
 
 def spans_of(edges: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     """(doc_id, tag, start, words, source, source_start): what follows a path of an earlier document."""
-    met = edges.join(paths, ["a", "b"]).where("doc_id > source")
+    met = edges.join(paths.hint("shuffle_hash"), ["a", "b"]).where("doc_id > source")  # an edge has one path: no key is large on that side
     # A document may leave a path by a window of its own and come back to it, at the same distance.
     stay = F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id", "tag").orderBy("at"))
     off = F.col("at") - F.col("source_at")
