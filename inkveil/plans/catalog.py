@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inkveil.functions.replacement import (
     REPLACEMENT_RULES, ReplacementRule, add_replacement, replacement_text,
 )
 from inkveil.functions.text import clean_text, luhn_valid, preview
-from inkveil.operators import detect as D, in_place, layout, numbering, ocr_text, profiles, redact, reports, rewrite, wide_pages
+from inkveil.operators import detect as D, many_rules as many, in_place, layout, numbering, ocr_text, profiles, redact, reports, rewrite, wide_pages
 from inkveil.plans.pipeline import text_context
-from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet
+from inkveil.rules import BRACKETED_PHONE, CARD_PATTERN, DEFAULT_RULES, SSN_PATTERN, RuleSet, update_patterns
+from inkveil.settings import load_settings
 from inkveil.sources import blocks as B, forms, keys
 from inkveil.sources.store import stage
 
@@ -253,6 +254,38 @@ def custom_pattern(spark, sf):
     )
 
 
+#: A rule set given whole, in place of the default one.
+OWN_RULES = update_patterns(
+    {
+        "Numbers": {"patterns": [r"\b\d{3,}\b", r"\b\d+[.,]\d+\b"], "labels": [r"\btotal"], "replacement": "[NUMBER]", "confidence_threshold": 0.5},
+        "Hosts": {"patterns": [r"\b[a-z0-9-]+\.example\.[a-z]+\b"], "labels": [r"\bhost"]},
+        "Marks": {"patterns": [r"[#$%&*]{3,}"], "labels": [r"\bmark"], "confidence_threshold": 0.6},
+    }
+)
+
+
+@query
+def own_rules(spark, sf):
+    return D.detect(_doc_context(spark, sf), OWN_RULES).select(*D.BLOCK_KEYS, "category", "pattern_idx", "match_text", "start", "replacement")
+
+
+#: The category of the rules that ``many_rules`` makes from the documents, and their number.
+WATCHLIST = RuleSet().add_pattern("Watchlist", r"\bx\b", ("client",), "[LISTED]", 0.5)
+N_RULES = 5000
+
+
+@query
+def many_rules(spark, sf):
+    """Five thousand rules from a table: a listed word, alone or with the word after it."""
+    documents = _documents(spark, sf)
+    listed = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("literal")).distinct()
+    listed = listed.orderBy("literal").limit(N_RULES)
+    number = F.row_number().over(Window.orderBy("literal")).cast("long") - 1
+    regex = F.concat(F.lit(r"\b"), "literal", F.lit(r"\b(?: [a-z]+)?"))
+    rules = stage(listed.select(number.alias("rule_id"), F.lit("Watchlist").alias("category"), "literal", regex.alias("regex")))
+    return many.detect_many(text_context(documents), rules, WATCHLIST)
+
+
 @query
 def card_numbers(spark, sf):
     """Valid card numbers only: the check is part of the rule."""
@@ -380,6 +413,15 @@ def redact_by_profile(spark, sf):
     return profiles.redact_by_profile(documents, settings)
 
 
+@query
+def redact_by_settings(spark, sf):
+    """All documents under the settings that hold where no file is given, as one profile."""
+    documents = _documents(spark, sf)
+    settings = profiles.settings_table(spark, {"default": load_settings(spark)})
+    redacted = profiles.redact_by_profile(documents.withColumn("profile", F.lit("default")), settings)
+    return redacted.drop("profile")
+
+
 @query
 def redact_blocks_at_table_score(spark, sf):
     return redact.redact_blocks(_doc_context(spark, sf), min_confidence=0.6)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkveil.functions.replacement import ReplacementRule
-from inkveil.operators import detect as detection, in_place, layout, redact, reports, rewrite
+from inkveil.operators import detect as detection, in_place, layout, profiles, redact, reports, rewrite
 from inkveil.rules import DEFAULT_RULES, RuleSet
+from inkveil.settings import load_settings
 from inkveil.sources import blocks as block_source, keys, store
 
 
+#: Name of a helper column that no table has.
+_PROFILE = "_inkveil_own_profile"
+
+
 def text_context(df: DataFrame, **columns) -> DataFrame:
     """Blocks with context of a text table (or stream). No shuffle."""
     return layout.page_context(block_source.pages_from_text(df, **columns))
@@ -75,6 +80,8 @@ def anonymize(
     scope: str = "corpus",
     key: str = "doc_id",
     replacements: Mapping[str, ReplacementRule] | None = None,
+    settings: Mapping[str, str] | None = None,
+    profile: str | None = None,
 ) -> str:
     """Write a redacted copy beside the input and return its path.
 
@@ -86,13 +93,23 @@ def anonymize(
     ``numbers`` asks for numbered replacements of the matches in a text table, under the rules of ``replacements``: a number
     for each ``match``, or one for each distinct ``value``; counted through the whole table in the order of ``key``, or within each row
     (``scope``).
+
+    ``settings`` names settings files by profile; the rows of a text table are redacted under the profile in their column
+    ``profile``, or all under the only one. Thresholds, enabled categories and tokens are then the files'.
     """
     if numbers not in (None, "match", "value") or (numbers and not text_table):
         raise ValueError("numbers are for text tables: 'match' or 'value'")
+    if settings and (numbers or not text_table or (profile is None and len(settings) != 1)):
+        raise ValueError("settings are for text tables without numbers; several of them need a profile column")
     if text_table:
         table = block_source.read_table(spark, path)
-        usable, rejects = block_source.split_text_rejects(table, key)
-        if numbers:
+        rejects = block_source.split_text_rejects(table, key)[1] if rejects_path else None
+        if settings:
+            loaded = profiles.settings_table(spark, {n: load_settings(spark, p) for n, p in settings.items()}, rules)
+            named = table if profile else table.withColumn(_PROFILE, F.lit(next(iter(settings))))
+            chosen = rules.selected(selected_categories)
+            redacted = profiles.redact_by_profile(named, loaded, profile or _PROFILE, chosen, spans=spans).select(*table.columns)
+        elif numbers:
             redacted = rewrite.replace_numbered(
                 table, rules, min_confidence, selected_categories, key, replacements=replacements, scope=scope, consistent=numbers == "value"
             )

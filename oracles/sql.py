@@ -448,6 +448,27 @@ SLOTS = "[" + ", ".join(
     for j in range(len(c.patterns))
 ) + "]"
 
+MANY_RULES = rf"""
+listed AS (
+  SELECT row_number() OVER (ORDER BY word) - 1 AS rule_id, word
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{8,}}')) AS word FROM documents) ORDER BY word LIMIT {catalog.N_RULES}),
+words AS (SELECT DISTINCT {KEYS}, unnest(regexp_extract_all(shadow, '[a-z0-9]+')) AS word FROM shaded WHERE length(text) >= 2),
+runs AS MATERIALIZED (
+  SELECT s.doc_id, s.page_no, s.block_no, s.text, rule_id, is_table_cell, regexp_matches(pre_shadow, 'client') OR regexp_matches(post_shadow, 'client') AS label_hit,
+    regexp_replace(shadow, '(\b' || l.word || '\b(?: [a-z]+)?)', chr(1) || '\1' || chr(1), 'g') AS fenced
+  FROM words w JOIN listed l ON l.word = w.word
+  JOIN shaded s ON s.doc_id = w.doc_id AND s.page_no = w.page_no AND s.block_no = w.block_no),
+pieces AS (
+  SELECT * EXCLUDE (fenced), unnest(string_split(fenced, chr(1))) AS piece, generate_subscripts(string_split(fenced, chr(1)), 1) AS pos
+  FROM runs WHERE contains(fenced, chr(1))),
+placed AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {KEYS}, rule_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS "start" FROM pieces)
+SELECT {KEYS}, 'Watchlist' AS category, rule_id, (pos // 2 - 1)::INTEGER AS match_idx, substring(text, "start" + 1, length(piece)) AS match_text,
+  "start", ("start" + length(piece))::INTEGER AS "end",
+  0.5::DOUBLE + CASE WHEN label_hit THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN is_table_cell THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+  '[LISTED]' AS replacement
+FROM placed WHERE pos % 2 = 0"""
+
 SQL: dict[str, str] = {
     "blocks_from_text": f"WITH {DOC_RAW} SELECT * FROM raw",
     "blocks_from_turns": f"WITH {TURN_RAW} SELECT * FROM raw",
@@ -475,6 +496,7 @@ SQL: dict[str, str] = {
     "ordered_matches": f"""{FORM_MATCHES} SELECT {KEYS}, category, pattern_idx, "start", "end", replacement FROM matches
         ORDER BY doc_id, category_ord, page_no, block_no, pattern_idx, "start" """,
     "custom_pattern": f"""{DOC_CTX}, {matches(catalog.CUSTOM_RULES)} SELECT {KEYS}, category, pattern_idx, match_text, "start", replacement FROM matches""",
+    "many_rules": f"{DOC_CTX}, {MANY_RULES}",
     "card_numbers": f"""{DOC_CTX}, {matches(catalog.CARD_RULES)} SELECT {KEYS}, match_text, "start", "end" FROM matches WHERE {luhn('match_text')}""",
     "ssn": f"""{FORM_CTX}, {matches(catalog.SSN_RULES)}
         SELECT {KEYS}, match_text, confidence FROM matches WHERE match_text[1:3] NOT IN ('000', '666') AND match_text[1] <> '9'
@@ -536,6 +558,13 @@ SQL: dict[str, str] = {
         FROM matches GROUP BY doc_id, page_no, part, category""",
     "pattern_distribution": f"{DOC_MATCHES}, {DISTRIBUTION.format(slots=SLOTS)}",
     "redact_by_profile": profiled(),
+    "redact_by_settings": documents_redacted(
+        0.0,
+        redacted(DOC_CTX, DEFAULT_RULES.without(["Account Numbers", "Addresses"]).override(
+            {n: {"threshold": 0.9} for n in DEFAULT_RULES.names()} | {"Names": {"threshold": 0.9, "replacement": "[NAME]"}, "Phone Numbers": {"threshold": 0.9, "replacement": "XXX-XXX-XXXX"}}
+        ), 0.0),
+    ),
+    "own_rules": f"""{DOC_CTX}, {matches(catalog.OWN_RULES)} SELECT {KEYS}, category, pattern_idx, match_text, "start", replacement FROM matches""",
     "hit_quantiles": f"{DOC_MATCHES}, {HIT_QUANTILES}",
     "match_lists": f"""{DOC_MATCHES},
         numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY page_no, block_no, pattern_idx, "start") - 1 AS place FROM matches)
