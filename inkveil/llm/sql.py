@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm.licenses import PHRASES, TEMPLATES, words
+from inkveil.llm.licenses import PHRASES, TEMPLATES, window_words, words
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -38,7 +38,7 @@ FROM b LEFT JOIN cut USING (doc_id)"""
 def licenses(threshold: float = 0.8) -> str:
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    templates = ", ".join(f"({text(label)}, [{', '.join(text(w.decode()) for w in sorted(set(words(t.encode()))))}])" for label, t in TEMPLATES)
+    templates = ", ".join(f"({text(label)}, [{', '.join(text(w.decode()) for w in sorted(set(words(t.encode()))))}], {window_words(t)})" for label, t in TEMPLATES)
     places = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS i, {text(label)} AS label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE "
         + " AND ".join(f"ws[i + {k}] = {text(w)}" for k, w in enumerate(phrase.split()))
@@ -48,11 +48,19 @@ def licenses(threshold: float = 0.8) -> str:
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 d AS (SELECT doc_id, t, regexp_extract_all(t, {word}) AS ws FROM lowered),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {word})) AS held FROM d),
-templates AS (SELECT * FROM (VALUES {templates}) v(label, need)),
+numbered AS (SELECT row_number() OVER () AS r, * FROM d),
+templates AS (SELECT * FROM (VALUES {templates}) v(label, need, width)),
+begun AS (
+  SELECT r, doc_id, label, need, unnest(range(1, len(ws) + 1)) AS i, ws, width FROM numbered, templates
+  WHERE len(list_intersect(ws, need)) >= ceil({threshold} * len(need) - 1e-9)),
+held AS (
+  SELECT r, doc_id, label, need, i, list_filter(list_transform(ws[i : i + width - 1], lambda w, k: CASE WHEN list_contains(need, w) THEN k END), lambda k: k IS NOT NULL) AS hits,
+    len(list_intersect(ws[i : i + width - 1], need)) AS n
+  FROM begun WHERE list_contains(need, ws[i])),
+windows AS (SELECT r, doc_id, label, i AS first, i + hits[-1] - 1 AS last, n, n / len(need) AS share FROM held WHERE n >= ceil({threshold} * len(need) - 1e-9)),
 met AS (
-  SELECT doc_id, label, len(list_intersect(held, need)) / len(need) AS share FROM lines, templates
-  WHERE len(list_intersect(held, need)) >= ceil({threshold} * len(need) - 1e-9)),
+  SELECT * FROM windows w WHERE NOT EXISTS (
+    SELECT 1 FROM windows v WHERE v.r = w.r AND v.first <= w.last AND w.first <= v.last AND (v.n > w.n OR (v.n = w.n AND v.share > w.share)))),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
 every AS (SELECT doc_id, list_sort(list(DISTINCT label)) AS labels FROM (SELECT doc_id, label FROM met UNION ALL SELECT doc_id, label FROM places) GROUP BY doc_id),

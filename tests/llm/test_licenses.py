@@ -13,14 +13,17 @@ def words(text):
 def brute(text, threshold=0.8):
     own = words(text)
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(own)) if own[i : i + len(p.split())] == p.split()]
-    found, share = set(), 0.0
-    for line in (text or "").split("\n"):
-        held = set(words(line))
-        for label, template in licenses.TEMPLATES:
-            t = set(words(template))
-            if len(held & t) >= threshold * len(t) - 1e-9:
-                found.add(label)
-                share = max(share, len(held & t) / len(t))
+    windows = []
+    for label, template in licenses.TEMPLATES:
+        t, size = set(words(template)), len(words(template))
+        size += -(-size // 4)
+        for i, w in enumerate(own):
+            held = [k for k in range(i, min(i + size, len(own))) if own[k] in t] if w in t else []
+            n = len({own[k] for k in held})
+            if n and n >= threshold * len(t) - 1e-9:
+                windows.append((i, held[-1], n, n / len(t), label))
+    kept = [w for w in windows if not any(v[0] <= w[1] and w[0] <= v[1] and v[2:4] > w[2:4] for v in windows)]
+    found, share = {w[4] for w in kept}, max((w[3] for w in kept), default=0.0)
     base = {x for _, x in places}
     starts = [i for i, _ in places]
     return (
@@ -50,3 +53,32 @@ def test_same_as_brute_force(spark):
         want = brute(text)
         assert tuple(row)[1:7] == want[:6] and abs(row.score - want[6]) < 1e-9, text
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def by_text(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in sorted(licenses.scan_licenses(docs).collect(), key=lambda r: r.doc_id)]
+
+
+def test_every_template_wrapped_at_every_word(spark):
+    texts, want = [], []
+    for label, template in licenses.TEMPLATES:
+        own = template.split()
+        for i in range(1, len(own) + 1):
+            texts.append("before it\n * " + " ".join(own[:i]) + "\n * " + " ".join(own[i:]) + "\nand after")
+            want.append(label)
+    got = by_text(spark, texts)
+    base = {"gpl-3": "gpl,gpl-3", "cc-by": "cc-by", "cc-by-nc": "cc-by,cc-by-nc", "cc-by-sa": "cc-by,cc-by-sa", "reserved": "reserved"}
+    assert got == [base.get(w, w) for w in want]
+
+
+def test_scattered_words_are_no_license(spark):
+    filler = " ".join(f"w{i}" for i in range(60))
+    scattered = f" {filler} ".join(["licensed", "under", "cc", "by", "4", "0"])
+    long_ago = f"Licensed under the {filler} Apache License, {filler} Version 2.0"
+    assert by_text(spark, [scattered, long_ago]) == ["", ""]
+
+
+def test_two_licenses_side_by_side_and_many_in_one_text(spark):
+    one, two = licenses.TEMPLATES[6][1], licenses.TEMPLATES[0][1]
+    assert by_text(spark, [f"{one}. {two}", (one + "\n") * 3000 + two, "by " * 5000 + "Licensed under CC BY-SA 4.0"]) == ["apache-2.0,mit", "apache-2.0,mit", "cc-by,cc-by-sa"]
