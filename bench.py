@@ -29,6 +29,12 @@ HEADLINE = [
     "block_context",
     "wide_page_context",
     "detection_quality",
+    "redact_documents_in_place",
+    "redact_document_spans_in_place",
+    "pseudonymized_text",
+    "hit_quantiles",
+    "many_rules",
+    "merge_long_runs",
 ]
 
 
