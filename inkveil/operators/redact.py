@@ -172,15 +172,35 @@ def _apart(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(F.transform(spans, lambda s: s["end"]), groups)).otherwise(none)
 
 
+#: Groups of up to so many spans are chosen from by comparing each with those kept.
+_FEW = 32
+
+
 def _longest_first(group: Column) -> Column:
-    """The spans of a group that are kept, in order.
+    """The spans of a group that are kept, in order."""
+    ranked = F.array_sort(F.transform(group, lambda s: _struct(s, _RANKED, rank=s["start"] - s["end"])))
+    return F.when(F.size(group) <= 1, group).when(F.size(group) <= _FEW, _by_comparison(ranked)).otherwise(_on_a_row(group, ranked))
+
+
+def _by_comparison(ranked: Column) -> Column:
+    """Each span in order of rank, unless it overlaps one kept before."""
+    return F.aggregate(
+        ranked,
+        F.array().cast(f"array<{_RANKED}>"),
+        lambda kept, s: F.when(
+            F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
+        ).otherwise(F.concat(kept, F.array(s))),
+        lambda kept: F.array_sort(F.transform(kept, lambda s: _struct(s, _SPAN))),
+    )
+
+
+def _on_a_row(group: Column, ranked: Column) -> Column:
+    """The same for groups of any size.
 
     The group's stretch of text is a row of bytes. The spans are laid on it by rank, each only where nothing lies yet: a 2
     for its first place, a 1 for the others. What lies there in the end tells which were kept. So a span costs its
     own length and a copy of the row, however many were kept before.
     """
-    none = F.array().cast(f"array<{_SPAN}>")
-    ranked = F.array_sort(F.transform(group, lambda s: _struct(s, _RANKED, rank=s["start"] - s["end"])))
 
     def bytes_of(digits: str, n: Column, first: str = "") -> Column:
         return F.unhex(F.concat(F.lit(first), F.repeat(F.lit(digits), n)))
@@ -209,7 +229,7 @@ def _longest_first(group: Column) -> Column:
         return ~F.coalesce(again, F.lit(False)) & (part(row, s, base) == laid(s)) & ends
 
     frame = F.struct(F.get(group, 0)["start"].alias("base"), F.array_max(F.transform(group, lambda s: s["end"])).alias("end"))
-    return F.when(F.size(group) == 0, none).when(F.size(group) == 1, group).otherwise(let(frame, chosen))
+    return let(frame, chosen)
 
 
 def _struct(span: Column, shape: str, **own: Column) -> Column:

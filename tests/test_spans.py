@@ -3,6 +3,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkveil.operators import redact
@@ -24,7 +25,9 @@ def by_spark(spark, groups):
     return {r.id: [tuple(s)[:4] for s in r.kept] for r in df.select("id", kept.alias("kept")).collect()}
 
 
-def test_same_as_brute_force(spark):
+@pytest.mark.parametrize("few", [32, 1, 1000])
+def test_same_as_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(redact, "_FEW", few)
     r = random.Random(6)
     groups = [[]]
     for _ in range(300):
