@@ -3,9 +3,9 @@
 1. Texts are split into words exactly as the tokenizer does. The documents of a block (a run of about
    ``BLOCK`` bytes of one partition) share a word list; each document keeps the places of its words in
    it. Both are staged.
-2. The distinct words of all blocks are encoded, each once, through the tokenizers library, and decoded by a join of
-   their ids with the pieces of the vocabulary (a table of the tokenizer's size, which is broadcast).
-3. Ids and decoded words come back by a join on the word, are packed by block, and put in each document's places.
+2. The distinct words of all blocks are encoded, each once, through the tokenizers library.
+3. The ids come back by a join on the word, are packed by block, and put in each document's
+   places. To decode, the distinct ids of each block are joined with the pieces of the vocabulary.
 
 Splitting: special tokens are cut out first, wherever they stand. A text whose characters all lie
 below U+0250 (where normal form C changes nothing) is lower-cased and split by the tokenizer's pattern
@@ -152,51 +152,53 @@ def encode_words(words: DataFrame, shared) -> DataFrame:
     return words.distinct().select("word", encode("word").alias("ids"))
 
 
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, decoded): the pieces (id, piece) of each word's ids, in order, by a space; unknown ids give nothing.
-
-    The words stay where they are: the pieces come to them, and the rows of a word are still together.
-    """
-    tokens = encoded.select("word", "ids", F.posexplode_outer("ids").alias("n", "id")).join(F.broadcast(pieces), "id", "left")
-    found = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("n", "piece")))
-    decoded = F.array_join(F.transform(F.array_sort(found), lambda p: p["piece"]), " ")
-    return tokens.groupBy("word").agg(F.first("ids").alias("ids"), decoded.alias("decoded"))
-
-
 def ids_by_block(lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(block, n, n_ids, place, size, ids, decoded): what each block's words are encoded and decoded to, packed by task
-    and block."""
+    """(block, n, place, size, ids): the ids of each block's words, packed by task and block."""
 
     def run(batches):
         kept: dict[int, list] = {}
         for batch in batches:
             block = batch.column("block").to_numpy()
+            ids = batch.column("ids")
+            size = ids.value_lengths().to_numpy()
             order = np.argsort(block, kind="stable")
-            taken, decoded = (batch.column(c).take(pa.array(order)) for c in ("ids", "decoded"))
-            size = taken.value_lengths().to_numpy()
-            at, flat, ends = batch.column("place").to_numpy()[order], taken.flatten().to_numpy(), np.r_[0, np.cumsum(size)]
+            taken = ids.take(pa.array(order))
+            at, flat, ends = batch.column("place").to_numpy()[order], taken.flatten().to_numpy(), np.r_[0, np.cumsum(size[order])]
             bounds = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
             for a, b in zip(bounds[:-1], bounds[1:]):
-                kept.setdefault(int(block[order[a]]), []).append((at[a:b], size[a:b], flat[ends[a] : ends[b]], decoded.slice(a, b - a)))
+                kept.setdefault(int(block[order[a]]), []).append((at[a:b], size[order[a:b]], flat[ends[a] : ends[b]]))
         for number, parts in kept.items():
-            at, size, flat = (np.concatenate(x) for x in list(zip(*parts))[:3])
-            decoded = pa.concat_arrays([p[3] for p in parts])
+            at, size, flat = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([number], pa.int64()), "n": pa.array([len(at)], pa.int32()), "n_ids": pa.array([len(flat)], pa.int32()),
                 "place": [pack(at)], "size": [pack(size)], "ids": [pack(flat)],
-                "decoded": pa.ListArray.from_arrays(pa.array([0, len(decoded)], pa.int32()), decoded),
             })
 
     located = lists.select("block", F.posexplode("words").alias("place", "word"))
-    joined = located.join(vocabulary, "word").select("block", "place", "ids", "decoded")
-    return joined.mapInArrow(run, "block long, n int, n_ids int, place binary, size binary, ids binary, decoded array<string>")
+    joined = located.join(vocabulary, "word").select("block", "place", "ids")
+    return joined.mapInArrow(run, "block long, n int, n_ids int, place binary, size binary, ids binary")
+
+
+def pieces_by_block(by_block: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(block, known, pieces): the pieces of all ids that stand in a block; at most as many as the tokenizer has."""
+
+    def run(batches):
+        for batch in batches:
+            for block, n, ids in zip(*(batch.column(c).to_pylist() for c in ("block", "n_ids", "ids"))):
+                own = np.unique(unpack(ids, n))
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "id": pa.array(own.astype(np.int32))})
+
+    used = by_block.select("block", "n_ids", "ids").mapInArrow(run, "block long, id int").distinct()
+    pairs = F.collect_list(F.struct("id", "piece")).alias("pairs")
+    return used.join(pieces, "id").groupBy("block").agg(pairs).select("block", F.col("pairs.id").alias("known"), F.col("pairs.piece").alias("pieces"))
 
 
 def join_back(packs: DataFrame, by_block: DataFrame, finish: Callable, columns: str) -> DataFrame:
-    """Put the ids and the decoded forms of a block's words in each document's places."""
+    """Put the ids of a block's words in each document's places, and the pieces of the ids of each word together."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [(unpack(p, n), unpack(s, n), unpack(i, m)) for n, m, p, s, i in zip(*(right.column(c).to_pylist() for c in ("n", "n_ids", "place", "size", "ids")))]
+        packed = zip(*(right.column(c).to_pylist() for c in ("n", "n_ids", "place", "size", "ids")))
+        parts = [(unpack(p, n), unpack(s, n), unpack(i, m)) for n, m, p, s, i in packed if n is not None]
         words = max((int(p.max()) + 1 for p, _, _ in parts), default=0)
         size, start = np.zeros(words, np.int64), np.zeros(words, np.int64)
         flat = np.concatenate([np.zeros(0, np.int64), *(i for _, _, i in parts)])
@@ -204,10 +206,8 @@ def join_back(packs: DataFrame, by_block: DataFrame, finish: Callable, columns:
         for p, s, i in parts:
             size[p], start[p] = s, begin + np.cumsum(s) - s
             begin += len(i)
-        text = [""] * words
-        for (p, _, _), decoded in zip(parts, right.column("decoded").to_pylist()):
-            for place, own in zip(p.tolist(), decoded):
-                text[place] = own
+        known = {i: p for ids, own in zip(right.column("known").to_pylist(), right.column("pieces").to_pylist()) for i, p in zip(ids or (), own or ())}
+        text = [" ".join([known[i] for i in flat[a : a + n].tolist() if i in known]) for a, n in zip(start.tolist(), size.tolist())]
         rows = []
         for ids, sizes, data in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "places"))):
             at = unpack(data, sum(sizes))
@@ -236,14 +236,15 @@ def encode_decode(docs: DataFrame, path: str, finish: Callable = ids_and_text, c
     with open(path, encoding="utf-8") as f:
         model = f.read()
     shared = context.broadcast(model)
-    known = [(i, p) for p, i in plain_tokenizer(model).get_vocab(True).items()]  # as many as the tokenizer has
-    pieces = docs.sparkSession.createDataFrame(known, "id int, piece string")
+    vocab = [(i, p) for p, i in plain_tokenizer(model).get_vocab(True).items()]  # as many as the tokenizer has
+    pieces = docs.sparkSession.createDataFrame(vocab, "id int, piece string")
     split = stage(split_documents(docs, shared))
     lists = split.where("words is not null").select("block", "words")
-    vocabulary = stage(decode_words(encode_words(lists.select(F.explode("words").alias("word")), shared), pieces))
+    vocabulary = stage(encode_words(lists.select(F.explode("words").alias("word")), shared))
     by_block = stage(ids_by_block(lists, vocabulary))
     discard(vocabulary)
-    return join_back(split.where("words is null").drop("words"), by_block, finish, columns)
+    with_pieces = by_block.unionByName(pieces_by_block(by_block, pieces), allowMissingColumns=True)
+    return join_back(split.where("words is null").drop("words"), with_pieces, finish, columns)
 
 
 def digest(ids: np.ndarray, text: str):
