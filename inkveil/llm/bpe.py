@@ -153,7 +153,8 @@ def encode_words(words: DataFrame, shared) -> DataFrame:
 
 
 def ids_by_block(lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(block, n, place, size, ids): the ids of each block's words, packed by task and block."""
+    """(block, n, n_ids, place, size, ids, n_used, used): the ids of each block's words, packed by task and block; ``used`` are
+    the distinct ones in order."""
 
     def run(batches):
         kept: dict[int, list] = {}
@@ -169,26 +170,32 @@ def ids_by_block(lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 kept.setdefault(int(block[order[a]]), []).append((at[a:b], size[order[a:b]], flat[ends[a] : ends[b]]))
         for number, parts in kept.items():
             at, size, flat = (np.concatenate(x) for x in zip(*parts))
+            used = np.unique(flat)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([number], pa.int64()), "n": pa.array([len(at)], pa.int32()), "n_ids": pa.array([len(flat)], pa.int32()),
-                "place": [pack(at)], "size": [pack(size)], "ids": [pack(flat)],
+                "place": [pack(at)], "size": [pack(size)], "ids": [pack(flat)], "n_used": pa.array([len(used)], pa.int32()), "used": [pack(used)],
             })
 
     located = lists.select("block", F.posexplode("words").alias("place", "word"))
     joined = located.join(vocabulary, "word").select("block", "place", "ids")
-    return joined.mapInArrow(run, "block long, n int, n_ids int, place binary, size binary, ids binary")
+    return joined.mapInArrow(run, "block long, n int, n_ids int, place binary, size binary, ids binary, n_used int, used binary")
 
 
 def pieces_by_block(by_block: DataFrame, pieces: DataFrame) -> DataFrame:
     """(block, known, pieces): the pieces of all ids that stand in a block; at most as many as the tokenizer has."""
 
-    def run(batches):
-        for batch in batches:
-            for block, n, ids in zip(*(batch.column(c).to_pylist() for c in ("block", "n_ids", "ids"))):
-                own = np.unique(unpack(ids, n))
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block)), "id": pa.array(own.astype(np.int32))})
-
-    used = by_block.select("block", "n_ids", "ids").mapInArrow(run, "block long, id int").distinct()
+    def run(parts: pa.Table) -> pa.Table:
+        stands = np.zeros(0, bool)
+        for n, data in zip(parts.column("n_used").to_pylist(), parts.column("used").to_pylist()):
+            own = unpack(data, n)
+            if n and own[-1] >= len(stands):
+                stands = np.r_[stands, np.zeros(own[-1] + 1 - len(stands), bool)]
+            stands[own] = True
+        ids = np.flatnonzero(stands).astype(np.int32)
+        return pa.table({"block": pa.array(np.full(len(ids), parts.column("block")[0].as_py())), "id": pa.array(ids)})
+
+    # An id that several tasks met is one row of its block.
+    used = by_block.select("block", "n_used", "used").groupBy("block").applyInArrow(run, "block long, id int")
     pairs = F.collect_list(F.struct("id", "piece")).alias("pairs")
     return used.join(pieces, "id").groupBy("block").agg(pairs).select("block", F.col("pairs.id").alias("known"), F.col("pairs.piece").alias("pieces"))
 
@@ -243,7 +250,7 @@ def encode_decode(docs: DataFrame, path: str, finish: Callable = ids_and_text, c
     vocabulary = stage(encode_words(lists.select(F.explode("words").alias("word")), shared))
     by_block = stage(ids_by_block(lists, vocabulary))
     discard(vocabulary)
-    with_pieces = by_block.unionByName(pieces_by_block(by_block, pieces), allowMissingColumns=True)
+    with_pieces = by_block.drop("n_used", "used").unionByName(pieces_by_block(by_block, pieces), allowMissingColumns=True)
     return join_back(split.where("words is null").drop("words"), with_pieces, finish, columns)
 
 

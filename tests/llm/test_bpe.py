@@ -38,3 +38,20 @@ def test_digest_and_empty_table(spark):
     want = (7, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert [tuple(r) for r in row] == [want]
     assert bpe.encode_decode(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_of_a_block_are_rows_once(spark):
+    """However many tasks hold words of a block, an id is one row of it."""
+    parts = [(3, [5, 7]), (3, [5, 7, 9]), (3, []), (4, [7])]
+    by_block = spark.createDataFrame([(b, len(ids), bpe.pack(np.array(ids, np.int64))) for b, ids in parts], "block long, n_used int, used binary")
+    pieces = spark.createDataFrame([(5, "five"), (7, "seven"), (9, "nine")], "id int, piece string")
+    found = bpe.pieces_by_block(by_block.repartition(4), pieces)
+    got = {row.block: sorted(zip(row.known, row.pieces)) for row in found.collect()}
+    assert got == {3: [(5, "five"), (7, "seven"), (9, "nine")], 4: [(7, "seven")]}
+    rows = spark.createDataFrame([(i, "one two three " * 3 + str(i)) for i in range(40)], "doc_id long, text string").repartition(4)
+    shared = spark.sparkContext.broadcast(open(PATH, encoding="utf-8").read())
+    lists = bpe.split_documents(rows, shared).where("words is not null").select("block", "words").localCheckpoint()
+    words = bpe.encode_words(lists.selectExpr("explode(words) word"), shared)
+    packed = bpe.ids_by_block(lists, words).collect()
+    for row in packed:
+        assert bpe.unpack(row.used, row.n_used).tolist() == sorted(set(bpe.unpack(row.ids, row.n_ids).tolist()))
