@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.sources.store import shared_folder
-
-#: Spark removes the shuffle files of a finished query when this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from inkveil.sources.store import shared_folder, write_released
 
 #: Bytes that separate words: space and the five controls from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -44,19 +41,6 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_released(writer, spark: SparkSession, path: str) -> None:
-    """Write, and let Spark remove the shuffle files of this query afterwards."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        writer.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """Apply ``run`` to each Arrow batch; it returns columns by name, in the order of ``schema``."""
     return df.mapInArrow(lambda batches: each_batch(batches, run), schema)

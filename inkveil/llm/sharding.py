@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import new_path, stage, write_released
+from inkveil.llm.common import new_path, stage
+from inkveil.sources.store import write_released
 
 MOST_BROADCAST = 1 << 20
 #: Share of a bucket's bytes from which repeats of one record are scattered by their places.

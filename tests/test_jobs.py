@@ -1,5 +1,7 @@
 """Whole jobs, streams, plans, and the queries against SQL."""
 
+import os
+
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from inkveil.operators.ocr_text import ocr_page_text
 from inkveil.operators.redact import redact_blocks
 from inkveil.plans import pipeline
 from inkveil.sources import store
+from inkveil.sources.store import CLEANUP, stage
 from inkveil.sources.blocks import blocks_from_text
 from inkveil.streaming import redaction
 from inkveil.streaming.redaction import redact_stream, write_apart, write_stream
@@ -155,3 +158,11 @@ def test_query_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = compare.tables(SF).execute(entry.oracle_sql()[name]).df()
     assert compare.difference(got, want) is None
+
+
+
+def test_a_table_written_between_steps_leaves_no_shuffle_setting(spark):
+    staged = stage(spark.range(100).repartition(4))
+    assert staged.count() == 100 and spark.conf.get(CLEANUP, None) in (None, "false")
+    names = os.listdir(staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert any(n.endswith(".zstd.parquet") for n in names)
