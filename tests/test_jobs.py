@@ -14,7 +14,7 @@ from inkveil.operators.redact import redact_blocks
 from inkveil.plans import pipeline
 from inkveil.sources import store
 from inkveil.sources.store import CLEANUP, stage
-from inkveil.sources.blocks import blocks_from_text
+from inkveil.sources.blocks import blocks_from_text, read_table
 from inkveil.streaming import redaction
 from inkveil.streaming.redaction import redact_stream, write_apart, write_stream
 
@@ -160,9 +160,34 @@ def test_query_equals_sql(spark, name):
     assert compare.difference(got, want) is None
 
 
+def test_a_table_of_many_splits_is_not_shuffled(spark, tmp_path):
+    spark.range(40).repartition(8).write.parquet(f"{tmp_path}/t")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "100000")
+    try:
+        few, many = (read_table(spark, f"{tmp_path}/t", n) for n in (9, 8))
+        plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan(few) and "Repartition" not in plan(many)
+        assert sorted(r.id for r in few.collect()) == sorted(r.id for r in many.collect()) == list(range(40))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 def test_a_table_written_between_steps_leaves_no_shuffle_setting(spark):
     staged = stage(spark.range(100).repartition(4))
     assert staged.count() == 100 and spark.conf.get(CLEANUP, None) in (None, "false")
     names = os.listdir(staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
     assert any(n.endswith(".zstd.parquet") for n in names)
+
+
+
+def test_ocr_words_in_any_order(spark):
+    """Numbers across runs, equal ones and null ones: as sorted by number and then by word."""
+    words = [(n, f"w{n}") for n in (0, 1, 9, 10, 255, 256, 4095, 4096, 4097, 8192, 70000)] + [(10, "a"), (10, "z"), (None, "none"), (-1, "minus")]
+    words = words[::-1] + [(5, "\u00e9\U0001f600"), (6, "  out  ")]
+    df = spark.createDataFrame([(1, 0, n, w, 90.0) for n, w in words], "doc_id long, page_no long, word_no long, text string, conf double").repartition(4)
+    [row] = ocr_page_text(df).collect()
+    assert row.page_text == " ".join(w.strip() for _, w in sorted(words, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+    assert "struct(word_no" not in ocr_page_text(df)._jdf.queryExecution().optimizedPlan().toString()
