@@ -298,7 +298,10 @@ def redact_documents(
     numbered = stage(documents.withColumn(_ROW, F.monotonically_increasing_id()))
     lines = numbered.where(F.col(text).isNotNull()).select(F.col(_ROW).alias("doc_id"), F.col(text).alias("text"))
     context = page_context(pages_from_text(lines))
-    redacted = redact_blocks(context, rules, min_confidence, selection).where("redacted")
+    blocks = redact_blocks(context, rules, min_confidence, selection)
+    # Not a filter: Spark would move one below cleaning and scoring and work both out again wherever the patterns name them.
+    line = F.struct("doc_id", "block_no", "text", "redacted")
+    redacted = blocks.select(F.inline(F.filter(F.array(line), lambda b: b["redacted"])))
     by_line = F.map_from_entries(F.collect_list(F.struct("block_no", "text")))
     changes = redacted.groupBy(F.col("doc_id").alias(_ROW)).agg(by_line.alias(_CHANGES))
     rebuilt = F.array_join(

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import compare
 from inkveil.operators.in_place import redact_in_place
 from inkveil.operators.ocr_text import ocr_page_text
-from inkveil.operators.redact import redact_blocks
+from inkveil.operators.redact import redact_blocks, redact_documents
 from inkveil.plans import pipeline
 from inkveil.sources import store
 from inkveil.sources.store import CLEANUP, stage
@@ -182,6 +182,13 @@ def test_a_table_written_between_steps_leaves_no_shuffle_setting(spark):
     assert any(n.endswith(".zstd.parquet") for n in names)
 
 
+def test_lines_are_cleaned_and_scored_once(spark):
+    """Dropping the lines that stay works nothing out a second time."""
+    documents = spark.createDataFrame([(1, "name: Ann Lee\nx"), (2, None), (3, "")], "doc_id long, text string")
+    plan = redact_documents(documents, min_confidence=0.6)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter " in line[:60]]
+    assert filters and not any("RLIKE" in line or "regexp_replace" in line for line in filters)
+
 
 def test_ocr_words_in_any_order(spark):
     """Numbers across runs, equal ones and null ones: as sorted by number and then by word."""
