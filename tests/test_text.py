@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import scan
-from inkveil.functions.text import clean_text, luhn_valid, normalize_ws, preview, ssn_valid
+from inkveil.functions.text import PIECE, clean_text, in_pieces, luhn_valid, normalize_ws, preview, preview_in, ssn_valid
 from inkveil.rules import DEFAULT_RULES, EXTENDED_RULES, Pattern
 import models
 
@@ -58,6 +58,24 @@ def test_ssn(spark, text, ok):
     assert one(spark, ssn_valid(F.col("t")), (text,)) == [ok]
 
 
+def test_preview_in_pieces(spark):
+    """The same from pieces as from the whole text, at every place around the ends of pieces."""
+    text = "".join("ab\né😀 x"[i % 7] for i in range(3 * PIECE + 5))
+    places = [(text[:n], s, e) for n in (1, PIECE, PIECE + 1, len(text)) for s in range(0, n, 3) for e in (s + 1, s + 25, n) if e <= n]
+    schema = "t string, s int, e int"
+    args = (F.col("s"), F.col("e"), F.lit("[R]"))
+    assert one(spark, preview_in(in_pieces(F.col("t")), *args), *places, schema=schema) == one(spark, preview(F.col("t"), *args), *places, schema=schema)
+
+
+def test_match_preview_reads_pieces(spark, tmp_path):
+    """A hit does not go through the whole of a long text."""
+    from inkveil.plans.catalog import QUERIES
+
+    spark.createDataFrame([(1, "name: John Smith\nname: Ann Lee")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shown = QUERIES["match_preview"](spark, str(tmp_path))
+    assert not re.search(r"substring\(text#", shown._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_preview(spark):
     text = "x" * 30 + "HIT" + "y" * 30
     shown = preview(F.col("t"), F.lit(30), F.lit(33), F.lit("[R]"), 5)
