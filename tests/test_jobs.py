@@ -198,3 +198,15 @@ def test_ocr_words_in_any_order(spark):
     [row] = ocr_page_text(df).collect()
     assert row.page_text == " ".join(w.strip() for _, w in sorted(words, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
     assert "struct(word_no" not in ocr_page_text(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ordered_matches", "exclude_matches"])
+def test_matches_read_twice_are_found_once(spark, tmp_path, name):
+    """A sort reads its rows twice, and so does leaving out some of them: the patterns run before, into a stored table."""
+    rows = [(i, f"Customer#{i}", i % 25, i - 3.0, "BUILDING") for i in range(6)]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/customer.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "/stage-" in plan and "\\u0001" not in plan and "\u0001" not in plan
+    assert found.count() > 0
