@@ -1,14 +1,18 @@
 import random
 import re
+import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from inkveil.functions import scan
 from inkveil.functions.text import PIECE, clean_text, in_pieces, luhn_valid, normalize_ws, preview, preview_in, ssn_valid
+from inkveil.operators import detect, redact, reports
 from inkveil.rules import DEFAULT_RULES, EXTENDED_RULES, Pattern
 import models
 
+CONTEXT = "doc_id long, page_no long, block_no long, text string, preceding_text string, following_text string, is_table_cell boolean"
+
 
 def one(spark, expr, *rows, schema="t string"):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema)
@@ -93,6 +97,50 @@ def test_offsets_in_texts_of_any_length(spark):
         assert [tuple(h) for h in hits] == want
 
 
+def test_hit_rows_are_the_hits(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice(["7", "ab ", "\u00e9", "\U0001f600", "12-3 "]) for _ in range(n))
+    texts = [(i, some(n)) for i, n in enumerate([0, 1, 5, 40, 300, 700, 3000, 20000])] + [(8, "7" * 64), (9, "7x" * 1600)]
+    pattern = Pattern(r"\d+|\u00e9")
+    fenced = spark.createDataFrame(texts, "id int, t string").withColumn("fenced", scan.fenced(F.col("t"), pattern))
+    rows = scan.hit_rows(fenced.select("id", "fenced"), ["id"])
+    assert rows.columns == ["id", "match_idx", "match_text", "start", "end"]
+    want = [
+        (i, k, m.group(), m.start(), m.end()) for i, t in texts for k, m in enumerate(re.finditer(r"[0-9]+|\u00e9", t))
+    ]
+    assert sorted(map(tuple, rows.collect())) == want
+    inline = fenced.select("id", F.inline(scan.hits(F.col("fenced"))))
+    assert sorted(map(tuple, inline.collect())) == want
+    assert rows.schema["start"].dataType == rows.schema["end"].dataType == rows.schema["match_idx"].dataType == T.IntegerType()
+
+
+def test_time_of_hits_grows_with_the_text(spark):
+    """A chunk used to read all text before it."""
+    text = F.repeat(F.lit(f"ab{scan.FENCE}cde{scan.FENCE}"), 100_000)
+    long = spark.range(1).select("id", text.alias("fenced"))
+    began = time.perf_counter()
+    last = F.max(F.struct("end", "match_idx", "start"))
+    inline = long.select(F.inline(scan.hits(F.col("fenced"))))
+    for rows in (inline, scan.hit_rows(long, ["id"])):
+        assert tuple(rows.agg(last.alias("last")).first().last) == (500_000, 99_999, 499_997)
+    assert time.perf_counter() - began < 60
+
+
+def test_detection_makes_rows_without_array_functions(spark):
+    blocks = spark.createDataFrame([(1, 0, 0, "a 12", "", "", True)], CONTEXT)
+    plan = detect.detect(blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "substring_index" in plan and "transform(filter(transform(split(" not in plan
+
+
+def test_spans_are_sorted_without_a_comparison_function(spark):
+    blocks = spark.createDataFrame([(1, 0, 0, "a 12", "", "", True)], CONTEXT)
+    plan = redact.dedupe_spans(blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan.replace("sort_array(", "")
+    pages = reports.matches_by_page(detect.detect(blocks))
+    assert "array_sort(" not in pages._jdf.queryExecution().executedPlan().toString()
+
+
+
 # Own samples for each kind of pattern: found, not found.
 SAMPLES = {
     ("Names", 0): (["Jane Doe", "john smith-jones", "Anna", "Renée Dupont", "Foo Bar 5"], ["Bob", "x1 y2", "Äöß"]),
