@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import discard, slices, stage
+from inkveil.llm.common import dealt, discard, slices, stage
 
 #: Low bits of a hash that give way to the place in the text.
 PLACE = np.uint64((1 << 24) - 1)
@@ -98,7 +98,7 @@ def candidates(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_two = anchors.groupBy("hash").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low != high")
     repeated = stage(in_two.select("hash").union(marked.select(F.explode("again"))).distinct())
     places = marked.select("row", F.inline(F.arrays_zip("hash", "at")))
-    found = places.join(repeated, "hash").groupBy("row").agg(F.collect_list("at").alias("at"))
+    found = places.join(dealt(repeated), "hash").groupBy("row").agg(F.collect_list("at").alias("at"))
     kept = known.where("doc_id = first").join(found, "row").select("doc_id", "tag", "at")
     out = stage(kept.groupBy("doc_id", "tag").agg(F.first("at").alias("at")))  # repeated rows once
     discard(marked, repeated)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import slices, stage
+from inkveil.llm.common import dealt, slices, stage
 from inkveil.llm.components import components
 
 #: Generator polynomial of the Golay code (fixed value).
@@ -155,7 +155,7 @@ def links(classes: DataFrame, max_distance: int = 4) -> DataFrame:
 
     more = by_key.where("n > 2").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    members = keyed.join(more, "key").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = dealt(keyed).join(more, "key").withColumn("own", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def search(batches):

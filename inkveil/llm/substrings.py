@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.anchors import anchor_of, arrays, candidates, mark, tag_of
-from inkveil.llm.common import discard, slices, stage
+from inkveil.llm.common import dealt, discard, slices, stage
 
 #: Words of an anchor.
 ANCHOR = 6
@@ -63,7 +63,7 @@ def measure(window: int):
 
 def with_text(docs: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
     """(doc_id, text, ...) of the documents that ``other`` has rows for, by ``doc_id`` alone."""
-    return docs.select(F.col("doc_id").cast("long"), "text").join(other, "doc_id", how)
+    return docs.select(F.col("doc_id").cast("long"), "text").join(dealt(other), "doc_id", how)
 
 
 def window_runs(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -174,7 +174,7 @@ def removed_words(docs: DataFrame, window: int, marked: DataFrame | None = None)
     paths = compact(edges_of(runs))
     spans = stage(spans_of(edges_of(runs), paths, window))
     discard(runs, paths)
-    checked = spans.join(source_digests(docs, spans), ["source", "source_start", "words"]).select("doc_id", F.struct("tag", "start", "words", "digest").alias("part"))
+    checked = dealt(spans).join(source_digests(docs, spans), ["source", "source_start", "words"]).select("doc_id", F.struct("tag", "start", "words", "digest").alias("part"))
     whole = copies.select("doc_id", F.struct("tag", F.lit(0).alias("start"), F.lit(-1).alias("words"), F.lit(None).cast("binary").alias("digest")).alias("part"))
     return stage(checked.union(whole).groupBy("doc_id").agg(F.collect_list("part").alias("parts")))
 
@@ -202,7 +202,7 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = docs.drop("n_words", "n_removed")
     out = docs.drop("parts_", "text").columns
     parts = removed_words(docs, window).withColumnsRenamed({"doc_id": "id_", "parts": "parts_"})
-    joined = docs.join(parts, docs["doc_id"].cast("long") == F.col("id_"), "left").drop("id_")
+    joined = docs.join(dealt(parts), docs["doc_id"].cast("long") == F.col("id_"), "left").drop("id_")
 
     def run(batches):
         for batch in batches:
@@ -254,4 +254,4 @@ def repeat_digest(docs: DataFrame, window: int = 13) -> DataFrame:
     parts = removed_words(docs, window, marked)
     null = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), "text", F.lit(None).cast(parts.schema["parts"].dataType).alias("parts"))
     lost = with_text(docs, parts)
-    return whole.join(parts, "doc_id", "left_anti").union(digests(lost, window)).union(digests(null, window))
+    return whole.join(dealt(parts), "doc_id", "left_anti").union(digests(lost, window)).union(digests(null, window))

@@ -84,3 +84,10 @@ def test_nulls_ties_and_empty_table(spark):
     assert got == [(0, None), (0, None), (4, 4), (5, 4), (5, 4)]
     assert sorted((x.doc_id or 0) for x in simhash.one_of_each(docs).collect()) == [0, 0, 4]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """Spark takes the keys, some forty for each fingerprint, for a table as small as the fingerprints."""
+    fps = spark.createDataFrame([(x,) for x in range(8)], "fp long")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from inkveil.llm import substrings
+from inkveil.llm import anchors, substrings
 
 
 def brute(rows, window=13):
@@ -66,3 +66,17 @@ def test_text_and_extra_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.repeat_digest(docs).count() == 0
+
+
+def test_staged_tables_and_texts_are_never_broadcast(spark, monkeypatch):
+    """A staged table is sized by its compressed file, which may be a small part of its rows."""
+    plans, kept = [], substrings.stage
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (substrings, anchors):
+        monkeypatch.setattr(module, "stage", lambda df: (plan(df), kept(df))[1])
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l m n " + f"x{i} " * i) for i in range(4)], "doc_id long, text string")
+    plan(substrings.without_repeats(docs))
+    plan(substrings.repeat_digest(docs))
+    joins = [line for p in plans for line in p.splitlines() if "HashJoin" in line or "SortMergeJoin" in line]
+    dealt = [j for j in joins if any(f"Join [{c}#" in j for c in ("hash", "doc_id", "source")) or "Join [cast(doc_id" in j]
+    assert len(dealt) >= 6 and not [j for j in dealt if "Broadcast" in j], joins
