@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.sources.store import shared_folder, write_released
+from inkveil.sources.store import dealt, shared_folder, write_released  # noqa: F401
 
 #: Bytes that separate words: space and the five controls from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -33,12 +33,6 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return staged
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """A side of a join that is never broadcast: Spark sizes staged tables by their compressed files, and what a function or an
-    explode makes of a row by that row, so it may take a large table for a small one."""
-    return df.hint("merge")
-
-
 def discard(*staged: DataFrame) -> None:
     """Remove staged tables that no later step reads."""
     for df in staged:
