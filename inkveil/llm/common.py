@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.sources.store import dealt, shared_folder, write_released  # noqa: F401
+from inkveil.sources.store import dealt, discard, shared_folder, write_released  # noqa: F401
 
 #: Bytes that separate words: space and the five controls from tab to carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -33,14 +33,6 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return staged
 
 
-def discard(*staged: DataFrame) -> None:
-    """Remove staged tables that no later step reads."""
-    for df in staged:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(df: DataFrame, schema: str, run: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
     """Apply ``run`` to each Arrow batch; it returns columns by name, in the order of ``schema``."""
     return df.mapInArrow(lambda batches: each_batch(batches, run), schema)
